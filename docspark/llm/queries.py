@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import langid, mixing
+from docspark.llm import langid, mixing, warc
 from docspark.llm.common import table
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("first_shard")
 
@@ -24,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing_tree": mixing.ORACLE}
+    return {"op3_warc_index": warc.ORACLE, "op9_mixing_tree": mixing.ORACLE}

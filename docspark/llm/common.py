@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
@@ -68,10 +68,6 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     yield start, n
 
 
-def partitions_for(rows: int, per: int, least: int = 1) -> int:
-    return max(least, -(-rows // per))
-
-
 def tasks(spark: SparkSession) -> int:
     """Partitions for heavy per-row work: the session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,6 +92,16 @@ def in_blocks(df: DataFrame, keys: list[str], salt: Column, size: int) -> DataFr
     )
 
 
-def latest_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+#: Most range buckets whose edges are kept as literals; beyond, buckets grow and their sorts spill.
+MOST_BUCKETS = 8192
+
+
+def range_buckets(rows: DataFrame, column: str, per: int) -> DataFrame:
+    """Adds `bucket`: the number of the range of `column` that a row is in, about `per` rows each, nulls in bucket 0."""
+    parts = min(MOST_BUCKETS, -(-rows.count() // per))
+    edges: list = []
+    if parts > 1:
+        cuts = F.percentile_approx(column, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))
+        edges = sorted(set(rows.where(F.col(column).isNotNull()).agg(cuts).first()[0] or []))
+    bucket = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(column))), F.lit(0)) if edges else F.lit(0)
+    return rows.withColumn("bucket", bucket)

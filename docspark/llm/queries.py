@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import langid, minhash, mixing, warc
-from docspark.llm.common import table
+from docspark.llm import langid, minhash, mixing, simhash, warc
+from docspark.llm.common import materialize, table
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report_with_links(table(spark, sf_dir, "documents"), lambda report: materialize(report, "simhash-report"))
+
+
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("first_shard")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import langid, minhash, mixing, simhash, warc
+from docspark.llm import langid, minhash, mixing, simhash, tokenfiles, warc
 from docspark.llm.common import materialize, table
 
 
@@ -23,6 +23,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report_with_links(table(spark, sf_dir, "documents"), lambda report: materialize(report, "simhash-report"))
 
 
+def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("first_shard")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import langid, minhash, mixing, simhash, tokenfiles, warc
+from docspark.llm import langid, minhash, mixing, packing, simhash, tokenfiles, warc
 from docspark.llm.common import materialize, table
 
 
@@ -15,6 +15,10 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import langid, minhash, mixing, packing, simhash, tokenfiles, warc
+from docspark.llm import ann, langid, minhash, mixing, packing, simhash, tokenfiles, warc
 from docspark.llm.common import materialize, table
 
 
+def op1_rotated_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index": warc.ORACLE, "op9_mixing_tree": mixing.ORACLE}
+    return {"op1_rotated_bit_codes": ann.ORACLE, "op3_warc_index": warc.ORACLE, "op9_mixing_tree": mixing.ORACLE}

@@ -169,7 +169,7 @@ ORACLE = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
     AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
-d AS (SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.e, b.e) AS score FROM v q JOIN v b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),
+d AS (SELECT q.vec_id AS query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) AS score FROM v q JOIN v b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import ann, langid, minhash, mixing, packing, simhash, tokenfiles, warc
+from docspark.llm import ann, bloomlm, langid, minhash, mixing, packing, simhash, tokenfiles, warc
 from docspark.llm.common import materialize, table
 
 
@@ -36,6 +36,10 @@ def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("first_shard")
 

@@ -3,8 +3,9 @@
 1. One pass over the texts: set size, digest of the set, the minima of HASHES permutations, their low BITS packed, band keys.
 2. Documents with equal sets form a class; only the class's smallest document goes on.
 3. Every band bucket links its members to its smallest one: candidates in proportion to the bucket, checked on full sets.
-4. Components of these links. Buckets that still hold several components pair members of different ones, in blocks, by
-   estimate; these are checked on full sets too. Members of one component need no further check.
+4. Components of these links. In buckets that still hold several, members outside the main one are checked with their
+   likeliest partners in others, for a few rounds; at last all pairs of different components that the estimate lets through.
+   Members of one component need no further check, so large groups of near copies cost in proportion to their size.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PERCENT = 75
 DEVIATIONS = 5.0
 #: Members of a bucket that one task compares at once, and ids up to which a semi-join side is broadcast (16 bytes each).
 BLOCK, BROADCAST_IDS = 1024, 1_000_000
+#: Rounds in which each member outside its bucket's main component names its BEST likeliest partners, before all pairs of what is left.
+ROUNDS, BEST = 3, 3
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,36 +141,48 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of different labels in one bucket by estimate; rows: bucket, doc_id, label, hub, sig. Pairs with the hub were checked before."""
+def _across(rows: DataFrame, least: float, best: int | None) -> DataFrame:
+    """Pairs of different labels in one bucket by estimate; rows: bucket, doc_id, label, sig.
+
+    With `best`, members outside the block's most frequent label name their `best` likeliest partners only, so the pairs are in
+    proportion to the members; with None, all pairs of different labels that the estimate lets through.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["sub"] == frame["bi"]], frame[frame["sub"] == frame["bj"]]
-        same_block = frame["bi"].iat[0] == frame["bj"].iat[0]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            many, ids, labels = planes(list(right["sig"])), right["doc_id"].to_numpy(), right["label"].to_numpy()
-            main = np.unique(labels, return_counts=True)
-            main = main[0][main[1].argmax()]
-            hub = right["hub"].iat[0]
-            for doc, label, sig in zip(left["doc_id"], left["label"], planes(list(left["sig"])), strict=True):
-                if doc == hub:
-                    continue
-                other = (labels != label) & (ids != hub)
-                if same_block:  # each pair once: members of the main label leave their pairs to the others
-                    other &= (labels == main) | (ids > doc) if label != main else False
-                other = np.flatnonzero(other)
-                if len(other):
-                    hit = other[estimate(sig, many[other]) >= least]
-                    out_a += [doc] * len(hit)
-                    out_b += ids[hit].tolist()
+        frame = frame.drop_duplicates("doc_id")
+        one_block = frame["bi"].iat[0] == frame["bj"].iat[0]
+        labels, counts = np.unique(frame["label"].to_numpy(), return_counts=True)
+        main = labels[counts.argmax()]
+        sides = [frame[frame["sub"] == frame["bi"]], frame[frame["sub"] == frame["bj"]]]
+        out_a: list[int] = []
+        out_b: list[int] = []
+        for left, right in [sides] if one_block else [sides, sides[::-1]]:
+            asks = left[left["label"] != main]
+            if not len(asks) or not len(right):
+                continue
+            many, ids, own = planes(list(right["sig"])), right["doc_id"].to_numpy(), right["label"].to_numpy()
+            for doc, label, sig in zip(asks["doc_id"], asks["label"], planes(list(asks["sig"])), strict=True):
+                # of two members outside the main label, the smaller one leaves the pair to the other
+                other = np.flatnonzero((own != label) & ((own == main) | (ids < doc) | (best is not None)))
+                guess = estimate(sig, many[other])
+                hit = np.flatnonzero(guess >= least)
+                if best is not None:
+                    hit = hit[np.argsort(-guess[hit], kind="stable")[:best]]
+                out_a += [doc] * len(hit)
+                out_b += ids[other[hit]].tolist()
         a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     blocks = in_blocks(rows, ["bucket"], F.xxhash64("doc_id"), BLOCK)
     return blocks.groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
 
 
+def _bridges(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels (u, v) that links (a, b) join."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    return ends.select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v")).where("u <> v").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach), kept (doc_id = component_id).
 
@@ -189,21 +204,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked = materialize(confirmed(stars, docs, percent), "minhash-links")
     copies = real.join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     repeated = copies.join(chosen.select(F.col("doc_id").alias("u")).distinct(), "u", "left_semi")  # an id with several sets
-    first = materialize(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(repeated)), "minhash-labels")
-    labelled = placed.join(first.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket")
-    apart = labelled.join(mixed, "bucket").join(sigs, "doc_id").select("bucket", "doc_id", "label", "hub", "sig")
-    more = materialize(_across(apart, least), "minhash-across")
-    links = linked.unionByName(confirmed(more, docs, percent))
-    label_of = first.select("node", "label")
-    ends = links.join(label_of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label_of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    bridges = materialize(ends.select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v")).where("u <> v").distinct(), "minhash-bridges")
-    second = materialize(components(bridges), "minhash-merged")
+    labels = materialize(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(repeated)), "minhash-labels")
+    tested, best = stars, BEST
+    for step in range(ROUNDS + 1):
+        labelled = placed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket")
+        apart = labelled.join(several, "bucket").join(sigs, "doc_id").select("bucket", "doc_id", "label", "sig")
+        last = best is None
+        pairs = materialize(_across(apart, least, best).join(tested, ["a", "b"], "left_anti"), "minhash-across")
+        bridges = materialize(_bridges(confirmed(pairs, docs, percent), labels), "minhash-bridges")
+        if step == ROUNDS - 1 or bridges.isEmpty():
+            best = None
+        if not bridges.isEmpty():
+            over = materialize(components(bridges), "minhash-merged")
+            members_of = labels.unionByName(over.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+            labels = materialize(members_of.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "minhash-labels")
+        tested = tested.unionByName(pairs)
+        if last:
+            break
     final = (
-        classes.join(label_of.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        .withColumn("label", F.coalesce("label", "rep"))
-        .join(second.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-        .select("digest", F.coalesce("top", "label").alias("component_id"))
+        classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+        .select("digest", F.coalesce("label", "rep").alias("component_id"))
     )
     joined = rows.join(final, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import ann, bloomlm, langid, minhash, mixing, packing, simhash, tokenfiles, warc
+from docspark.llm import ann, bloomlm, chat, langid, minhash, mixing, packing, simhash, tokenfiles, warc
 from docspark.llm.common import materialize, table
 
 
@@ -16,6 +16,10 @@ def op1_rotated_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.as_tool_messages(table(spark, sf_dir, "conversations")), chat.TOOLS)
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rotated_bit_codes": ann.ORACLE, "op3_warc_index": warc.ORACLE, "op9_mixing_tree": mixing.ORACLE}
+    return {"op1_rotated_bit_codes": ann.ORACLE, "op2_tool_call_linking": chat.ORACLE, "op3_warc_index": warc.ORACLE, "op9_mixing_tree": mixing.ORACLE}

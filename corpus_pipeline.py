@@ -1,4 +1,48 @@
-"""placeholder until the stages are written"""
+"""A corpus pipeline of four stages over `documents`: language ID, near-duplicates, source mixing, packing.
+
+Every stage works on all documents that the one before kept; its result is written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docspark.llm import langid, minhash, mixing, packing
+from docspark.llm.common import materialize, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the bitmask filters find; those without letters or a clear language go."""
+    return langid.keep_identified(docs)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the smallest doc_id."""
+    return minhash.deduplicated(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the weighted mix; one taken in both passes over its source stands twice."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.packed_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", identified), ("near_duplicates", unlike), ("mixing", mixed), ("packing", packed)]
+
+#: Language ID, links on shingle sets and packing have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import retrieval
+from docspark.plans import ingest, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, ingest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

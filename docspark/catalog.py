@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import ingest, retrieval
+from docspark.plans import ingest, retrieval, signals
 
-MODULES = [retrieval, ingest]
+MODULES = [retrieval, ingest, signals]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -150,9 +150,9 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageFilter:
     return LanguageFilter(languages, masks, np.array(false_rates))
 
 
-def identify(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFrame:
-    """The kept columns with lang_pred and score of every whole text; texts that are null or without letters get `und` and 0."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns, then the language and score of every whole text; texts that are null or without letters get `und` and 0."""
+    schema = docs.select(*[docs[c] for c in keep]).schema.add(names[0], "string").add(names[1], "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +161,9 @@ def identify(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFra
             for i, j in text_slices(texts):
                 langs, score = shared.value.predict(texts.slice(i, j - i))
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(predict, schema)
+    return docs.select(*[docs[c] for c in keep], docs["text"].cast("string")).mapInArrow(predict, schema)
 
 
 def held_out() -> Column:
@@ -185,4 +185,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is found with at least min_score, with their own columns."""
     model = fit(docs.sparkSession, docs.where(~F.coalesce(held_out(), F.lit(True))))
     keep = list(docs.columns)
-    return identify(docs, model, keep).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*keep)
+    found, sure = "found_language", "language_score"
+    while found in keep or sure in keep:  # a column of the documents may have the name
+        found, sure = f"{found}_", f"{sure}_"
+    return identify(docs, model, keep, (found, sure)).where((F.col(found) != "und") & (F.col(sure) >= min_score)).drop(found, sure)

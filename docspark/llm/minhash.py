@@ -235,5 +235,6 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     report = materialize(near_duplicates(docs, percent), "minhash-report")
     kept = report.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
     repeats = not kept.where("_n > 1").isEmpty()
-    out = docs.join(kept.drop("_n"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = kept.drop("_n")
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
     return out.dropDuplicates(["doc_id"]) if repeats else out

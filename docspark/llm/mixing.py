@@ -170,10 +170,11 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, whole, with the columns of `docs`: one row for each pass that takes any of the document's words."""
     mixed, _ = mix(docs, **how)
-    rows = mixed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "pass").distinct().groupBy("_d", "_s").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    # the texts stay where they are: (id, source) with its number of passes joins them once
-    joined = docs.join(rows, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    # one row a pass: the texts move once, in this join
+    rows = mixed.select("doc_id", "source", "pass").distinct()
+    rows = rows.select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"))
+    joined = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["mixed_id"]) & docs["source"].cast("string").eqNullSafe(rows["mixed_source"]))
+    return joined.select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = """

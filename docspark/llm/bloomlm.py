@@ -5,8 +5,9 @@ filter. Probing levels upward until one is missing gives the count's level back;
 quantised counts of one and two words; a two-word probability is interpolated with the one-word one by the share of two-word
 occurrences seen once (the Good-Turing mass of unseen ones). Filter segments are built on the cluster, one a hash range.
 
-Exact one-word counts, which the base score needs, are looked up in a broadcast table when it is small and by an equi-join on
-hash ranges beyond.
+The segments go, one behind the other, to a file in the shared folder: the driver streams them through and never holds them,
+and the workers of a node map one copy of it. Exact one-word counts, which the base score needs, are looked up in such a file
+when they are few, and by an equi-join on the word beyond.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialize, text_slices
+from docspark.llm.common import filesystem, materialize, shared_array, shared_path, text_slices
 from docspark.llm.shingles import mix64, word_hashes
 
 BASE = 1.5
@@ -30,8 +31,10 @@ PROBES = 5
 BITS_EACH, MOST_BITS = 10, 1 << 31
 #: Distinct n-grams of one segment; a segment is built in one task.
 SEGMENT_GRAMS = 1 << 19
-#: Exact counts are broadcast up to so many distinct words (16 bytes each).
-BROADCAST_WORDS = 6_000_000
+#: Exact counts are looked up in a file up to so many distinct words (12 bytes each).
+BROADCAST_WORDS = 20_000_000
+#: Bytes of text scored at once.
+SCORE_BYTES = 1 << 20
 #: Words and n-grams a counting task gathers before it hands on a partial count.
 GATHER = 1 << 21
 
@@ -142,7 +145,7 @@ class LogFrequencyFilter:
     segments: int
     sizes: np.ndarray  # bits, (kind, segment)
     firsts: np.ndarray  # first byte
-    bits: np.ndarray
+    bits: np.ndarray | str  # or the file that holds them
     train_tokens: int
     distinct: int
     unseen: float  # mass of unseen two-word continuations
@@ -150,6 +153,7 @@ class LogFrequencyFilter:
 
     def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Levels of n-grams by probing 1, 2, ... until one is missing."""
+        bits = shared_array(self.bits, "u1") if isinstance(self.bits, str) else self.bits
         own = (keys % np.uint64(self.segments)).astype(np.int64)
         size, first = self.sizes[kind - 1][own], self.firsts[kind - 1][own]
         out = np.zeros(len(keys), np.int64)
@@ -160,7 +164,7 @@ class LogFrequencyFilter:
             at = _probes(keys[alive], j, size[alive]).astype(np.int64)
             hit = np.ones(len(alive), bool)
             for k in range(PROBES):
-                hit &= (self.bits[first[alive] + (at[:, k] >> 3)] >> (at[:, k] & 7).astype(np.uint8) & 1).astype(bool)
+                hit &= (bits[first[alive] + (at[:, k] >> 3)] >> (at[:, k] & 7).astype(np.uint8) & 1).astype(bool)
             alive = alive[hit]
             out[alive] = j
         return out
@@ -197,14 +201,23 @@ def fit(counts: DataFrame, segments: int, texts: int) -> LogFrequencyFilter:
 
     built = materialize(counts.select("kind", "segment", "grams", "counts", "members").mapInArrow(build, "kind int, segment int, size long, bits binary"), "lm-segments")
     sizes, firsts = np.zeros((2, segments), np.int64), np.zeros((2, segments), np.int64)
-    data, at = [], 0
-    for r in built.toLocalIterator():
-        sizes[r["kind"] - 1, r["segment"]], firsts[r["kind"] - 1, r["segment"]] = r["size"], at
-        data.append(bytes(r["bits"]))
-        at += len(data[-1])
+    path, at = shared_path(counts.sparkSession, "lm-bits"), 0
+    fs, plain = filesystem(path)
+    with fs.open_output_stream(plain, compression=None) as out:
+        for r in built.toLocalIterator():
+            sizes[r["kind"] - 1, r["segment"]], firsts[r["kind"] - 1, r["segment"]] = r["size"], at
+            out.write(bytes(r["bits"]))
+            at += len(r["bits"])
+        out.write(b"\0")
     one, two = totals.get(1), totals.get(2)
     unseen = min(0.99, max(0.01, two["once"] / two["tokens"])) if two and two["tokens"] else 0.99
-    return LogFrequencyFilter(segments, sizes, firsts, np.frombuffer(b"".join(data) + b"\0", np.uint8), int(one["tokens"]) if one else 0, int(one["distinct"]) if one else 0, float(unseen), max(1, texts))
+    return LogFrequencyFilter(segments, sizes, firsts, path, int(one["tokens"]) if one else 0, int(one["distinct"]) if one else 0, float(unseen), max(1, texts))
+
+
+def _runs(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct keys, and the values at each."""
+    cuts = np.flatnonzero(np.diff(sorted_keys)) + 1
+    return sorted_keys[np.concatenate(([0], cuts))].tolist() if len(sorted_keys) else [], np.split(values, cuts) if len(values) else []
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -227,24 +240,34 @@ def scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame
     n_train, room = lm.train_tokens, lm.train_tokens + 0.5 * (lm.distinct + 1)
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
     if lm.distinct <= broadcast_words:
-        known: list[np.ndarray] = []
-        for r in words.select("grams", "counts").toLocalIterator():
-            known.append(np.stack([np.frombuffer(bytes(r["grams"]), "<u8"), np.frombuffer(bytes(r["counts"]), "<u4").astype(np.uint64)]))
-        both = np.concatenate(known, axis=1) if known else np.zeros((2, 0), np.uint64)
-        both = both[:, np.argsort(both[0])]
-        table = spark.sparkContext.broadcast((both[0].copy(), both[1].astype(np.uint32)))
+        grams_at, counts_at = shared_path(spark, "lm-words"), shared_path(spark, "lm-word-counts")
+        (fs, one), (_, two) = filesystem(grams_at), filesystem(counts_at)
+        first = np.zeros((2, segments), np.int64)
+        done = 0
+        with fs.open_output_stream(one, compression=None) as out, fs.open_output_stream(two, compression=None) as out2:
+            for r in words.toLocalIterator():
+                out.write(bytes(r["grams"]))
+                out2.write(bytes(r["counts"]))
+                first[:, r["segment"]] = done, done + len(r["counts"]) // 4
+                done += len(r["counts"]) // 4
+            out.write(b"\0" * 8)
+            out2.write(b"\0" * 4)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams, number = table.value
+            grams, number = shared_array(grams_at, "<u8"), shared_array(counts_at, "<u4")
             for b in batches:
-                for i, j in text_slices(b.column(2)):
+                for i, j in text_slices(b.column(2), SCORE_BYTES):
                     part = b.slice(i, j - i)
                     tok, n = tokens(part.column(2))
                     distinct, at = np.unique(tok, return_inverse=True)
+                    own = (distinct % np.uint64(segments)).astype(np.int64)
+                    order = np.argsort(own, kind="stable")
                     c = np.zeros(len(distinct))
-                    if len(grams):
-                        where = np.minimum(np.searchsorted(grams, distinct), len(grams) - 1)
-                        c = np.where(grams[where] == distinct, number[where], 0)
+                    for seg, some in zip(*_runs(own[order], order), strict=True):
+                        lo, hi = first[:, seg]
+                        if hi > lo:
+                            where = lo + np.minimum(np.searchsorted(grams[lo:hi], distinct[some]), hi - lo - 1)
+                            c[some] = np.where(grams[where] == distinct[some], number[where], 0)
                     base, starts = np.log10((c + 0.5) / room), np.cumsum(n) - n
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), starts)), pa.array(np.full(len(n), n_train)), pa.array(np.add.reduceat(base[at], starts)), pa.array(np.add.reduceat(model.value.log_probabilities(tok, n), starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -271,7 +294,7 @@ def scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame
 
     def model_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in text_slices(b.column(2)):
+            for i, j in text_slices(b.column(2), SCORE_BYTES):
                 part = b.slice(i, j - i)
                 tok, n = tokens(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), pa.array(np.add.reduceat(model.value.log_probabilities(tok, n), np.cumsum(n) - n))], names=["doc_id", "held_out", "row", "n_tokens", "score"])

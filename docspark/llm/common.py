@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,17 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+@lru_cache(maxsize=8)
+def shared_array(uri: str, kind: str) -> np.ndarray:
+    """A read-only array in a file of the shared folder: mapped where the folder is mounted, so a node's workers share one
+    copy; else read once a worker."""
+    fs, path = filesystem(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(path, dtype=kind, mode="r")
+    with fs.open_input_stream(path, compression=None) as f:
+        return np.frombuffer(f.read(), kind)
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array with at most `limit` bytes each (a longer row stands alone)."""
     n = len(texts)

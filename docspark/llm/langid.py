@@ -153,6 +153,9 @@ def fit(spark: SparkSession, labelled: DataFrame) -> LanguageFilter:
 def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The kept columns, then the language and score of every whole text; texts that are null or without letters get `und` and 0."""
     schema = docs.select(*[docs[c] for c in keep]).schema.add(names[0], "string").add(names[1], "double")
+    whole = "whole_text"
+    while whole in keep:
+        whole += "_"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], names: tup
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
-    return docs.select(*[docs[c] for c in keep], docs["text"].cast("string")).mapInArrow(predict, schema)
+    return docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias(whole)).mapInArrow(predict, schema)
 
 
 def held_out() -> Column:

@@ -115,8 +115,8 @@ def decode(data: bytes, table: Table, segment: int | None = None) -> np.ndarray:
             x[low] = (x[low] << np.uint64(32)) | words[at : at + len(low)]
             at += len(low)
         state[: b - a] = x
-    if segment is None and zlib.crc32(out.astype("<u4").tobytes()) != crc:
-        raise ValueError("a block's ids do not have its checksum")
+    if segment is None and (zlib.crc32(out.astype("<u4").tobytes()) != crc or at != written or (state != _LOW).any()):
+        raise ValueError("a block's ids do not have its checksum, or its words were changed")
     return out
 
 

@@ -4,7 +4,8 @@
 2. Documents with equal sets form a class; only the class's smallest document goes on.
 3. Every band bucket links its members to its smallest one: candidates in proportion to the bucket, checked on full sets.
 4. Components of these links. In buckets that still hold several, members outside the main one are checked with their
-   likeliest partners in others, for a few rounds; at last all pairs of different components that the estimate lets through.
+   likeliest partners in others, for a few rounds; at last, block by block, all pairs of different components that the
+   estimate lets through are counted on full sets, and only links that join components leave the block.
    Members of one component need no further check, so large groups of near copies cost in proportion to their size.
 """
 
@@ -31,9 +32,9 @@ PERCENT = 75
 #: Estimates under the threshold by more than this many standard deviations are not checked on full sets.
 DEVIATIONS = 5.0
 #: Members of a bucket that one task compares at once, and ids up to which a semi-join side is broadcast (16 bytes each).
-BLOCK, BROADCAST_IDS = 1024, 1_000_000
+BLOCK, BROADCAST_IDS = 2048, 1_000_000
 #: Rounds in which each member outside its bucket's main component names its BEST likeliest partners, before all pairs of what is left.
-ROUNDS, BEST = 3, 3
+ROUNDS, BEST = 2, 3
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,11 +142,11 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, least: float, best: int | None) -> DataFrame:
-    """Pairs of different labels in one bucket by estimate; rows: bucket, doc_id, label, sig.
+def _likeliest(rows: DataFrame, least: float, best: int) -> DataFrame:
+    """Pairs of different labels in one bucket; rows: bucket, doc_id, label, sig.
 
-    With `best`, members outside the block's most frequent label name their `best` likeliest partners only, so the pairs are in
-    proportion to the members; with None, all pairs of different labels that the estimate lets through.
+    Members outside the block's most frequent label name their `best` likeliest partners by estimate, so the pairs are in
+    proportion to the members.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -162,12 +163,10 @@ def _across(rows: DataFrame, least: float, best: int | None) -> DataFrame:
                 continue
             many, ids, own = planes(list(right["sig"])), right["doc_id"].to_numpy(), right["label"].to_numpy()
             for doc, label, sig in zip(asks["doc_id"], asks["label"], planes(list(asks["sig"])), strict=True):
-                # of two members outside the main label, the smaller one leaves the pair to the other
-                other = np.flatnonzero((own != label) & ((own == main) | (ids < doc) | (best is not None)))
+                other = np.flatnonzero(own != label)
                 guess = estimate(sig, many[other])
                 hit = np.flatnonzero(guess >= least)
-                if best is not None:
-                    hit = hit[np.argsort(-guess[hit], kind="stable")[:best]]
+                hit = hit[np.argsort(-guess[hit], kind="stable")[:best]]
                 out_a += [doc] * len(hit)
                 out_b += ids[other[hit]].tolist()
         a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
@@ -177,6 +176,51 @@ def _across(rows: DataFrame, least: float, best: int | None) -> DataFrame:
     return blocks.groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
 
 
+def _all_links(rows: DataFrame, docs: DataFrame, least: float, percent: int) -> DataFrame:
+    """Confirmed links that join different labels in one bucket; rows: bucket, doc_id, label, sig, bands.
+
+    Whole texts come to the block, and every pair of different components that the estimate lets through is counted there on
+    full sets, in the first bucket where the two meet. Only links that join components leave a block, fewer than its members.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    full = rows.join(_among(texts, rows.select("doc_id").distinct()), "doc_id")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        n = len(frame)
+        ids, comp, sub = frame["doc_id"].to_numpy(), np.unique(frame["label"].to_numpy(), return_inverse=True)[1], frame["sub"].to_numpy()
+        bi, bj = frame["bi"].iat[0], frame["bj"].iat[0]
+        sigs, bands = planes(list(frame["sig"])), np.stack(frame["bands"].to_list())
+        band = int(np.flatnonzero(bands[0] == frame["bucket"].iat[0])[0])
+        sets = shingle_sets(pa.array(frame["text"]))
+        sizes = np.fromiter(map(len, sets), np.int64, n)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        has = np.zeros(len(known), bool)
+        out: list[tuple[int, int]] = []
+        for i in range(n):
+            if sub[i] != bi:
+                continue
+            other = np.flatnonzero((comp != comp[i]) & (sub == bj) & ((np.arange(n) > i) | (bi != bj)))
+            other = other[estimate(sigs[i], sigs[other]) >= least] if len(other) else other
+            if band and len(other):
+                other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
+            if not len(other):
+                continue
+            has[flat[bounds[i] : bounds[i + 1]]] = True
+            for j in other.tolist():
+                if comp[j] == comp[i]:
+                    continue
+                common = int(has[flat[bounds[j] : bounds[j + 1]]].sum())
+                if common and 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    comp[comp == comp[j]] = comp[i]
+            has[flat[bounds[i] : bounds[i + 1]]] = False
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    blocks = in_blocks(full, ["bucket"], F.xxhash64("doc_id"), BLOCK)
+    return blocks.groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
+
+
 def _bridges(links: DataFrame, labels: DataFrame) -> DataFrame:
     """The labels (u, v) that links (a, b) join."""
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -209,17 +253,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for step in range(ROUNDS + 1):
         labelled = placed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket")
-        apart = labelled.join(several, "bucket").join(sigs, "doc_id").select("bucket", "doc_id", "label", "sig")
+        apart = labelled.join(several, "bucket").join(chosen, "doc_id").select("bucket", "doc_id", "label", "sig", "bands")
         last = best is None
-        pairs = materialize(_across(apart, least, best).join(tested, ["a", "b"], "left_anti"), "minhash-across")
-        bridges = materialize(_bridges(confirmed(pairs, docs, percent), labels), "minhash-bridges")
+        if last:
+            found = _all_links(apart, docs, least, percent)
+        else:
+            pairs = materialize(_likeliest(apart.drop("bands"), least, best).join(tested, ["a", "b"], "left_anti"), "minhash-across")
+            tested = tested.unionByName(pairs)
+            found = confirmed(pairs, docs, percent)
+        bridges = materialize(_bridges(found, labels), "minhash-bridges")
         if step == ROUNDS - 1 or bridges.isEmpty():
             best = None
         if not bridges.isEmpty():
             over = materialize(components(bridges), "minhash-merged")
             members_of = labels.unionByName(over.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
             labels = materialize(members_of.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "minhash-labels")
-        tested = tested.unionByName(pairs)
         if last:
             break
     final = (

@@ -89,18 +89,24 @@ def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
     return D.signatures(_docs(spark, d)).select("doc_id", F.array_join("sig", ",").alias("sig"))
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures are made once, for both sides of the band join."""
+    with_checkpoints(spark)
+    return D.candidates(D.signatures(_docs(spark, d)).checkpoint())
+
+
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return D.candidates(D.signatures(_docs(spark, d)))
+    return _candidates(spark, d)
 
 
 def near_dup_verified(spark: SparkSession, d: str) -> DataFrame:
-    return D.verified(D.candidates(D.signatures(_docs(spark, d))), _docs(spark, d))
+    return D.verified(_candidates(spark, d).checkpoint(), _docs(spark, d))
 
 
 def near_dup_gate(spark: SparkSession, d: str) -> DataFrame:
     """Greedy first-wins in id order; order-dependent, so it has no SQL and is tested against a loop."""
-    pairs = D.verified(D.candidates(D.signatures(_docs(spark, d))), _docs(spark, d)).select("a", "b")
-    return S.near_duplicate_gate(with_checkpoints(spark) and pairs.checkpoint(), _docs(spark, d))
+    pairs = D.verified(_candidates(spark, d).checkpoint(), _docs(spark, d)).select("a", "b")
+    return S.near_duplicate_gate(pairs.checkpoint(), _docs(spark, d))
 
 
 def _store(spark: SparkSession, d: str) -> DataFrame:

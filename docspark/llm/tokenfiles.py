@@ -156,7 +156,8 @@ def encode_files(plain: DataFrame, frequencies: np.ndarray, folder: str) -> Data
                 cols = list(zip(*index, strict=True)) if n else [[], [], [], []]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([row["bucket"]] * n, pa.int32()), "block": pa.array(range(n), pa.int32()), "file": pa.array([f"{folder}/{name}"] * n, pa.string()), "offset": pa.array(cols[0], pa.int64()), "length": pa.array(cols[1], pa.int64()), "n_docs": pa.array(cols[2], pa.int64()), "n_ids": pa.array(cols[3], pa.int64())})
 
-    return plain.select("bucket", "file").repartition("file").mapInArrow(run, INDEX)
+    # rows are names of files: left to adaptive execution, such small partitions would all be merged into one task
+    return plain.select("bucket", "file").repartition(max(1, plain.count()), "file").mapInArrow(run, INDEX)
 
 
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -194,7 +195,8 @@ def read_files(index: DataFrame, frequencies: np.ndarray) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(row["start"] + ends - lens), pa.array(lens), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("file", "offset", "length", "start").repartition("file", "offset").mapInArrow(run, DECODED)
+    parts = index.agg(F.count_distinct("bucket")).first()[0]  # as in encode_files(): a row stands for a whole block
+    return placed.select("file", "offset", "length", "start").repartition(max(1, parts), "file", "offset").mapInArrow(run, DECODED)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -5,14 +5,16 @@ filter. Probing levels upward until one is missing gives the count's level back;
 quantised counts of one and two words; a two-word probability is interpolated with the one-word one by the share of two-word
 occurrences seen once (the Good-Turing mass of unseen ones). Filter segments are built on the cluster, one a hash range.
 
-The segments go, one behind the other, to a file in the shared folder: the driver streams them through and never holds them,
-and the workers of a node map one copy of it. Exact one-word counts, which the base score needs, are looked up in such a file
-when they are few, and by an equi-join on the word beyond.
+The filter has BITS_EACH bits a member at every size. While it is small, the segments go, one behind the other, to a file in
+the shared folder: the driver streams them through and never holds them, and the workers of a node map one copy of it. Exact
+one-word counts, which the base score needs, are looked up in such a file when they are few, and by an equi-join on the word
+beyond. A larger filter is never in one place: the n-grams of a chunk of texts go to their segments, which answer with levels
+and exact counts, and the answers go back to the chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +29,8 @@ from docspark.llm.shingles import mix64, word_hashes
 BASE = 1.5
 MOST_LEVEL = 80
 PROBES = 5
-#: Bits for each member, and the documented bound on all of them (256 MB); beyond it the filter only grows denser.
-BITS_EACH, MOST_BITS = 10, 1 << 31
+#: Bits for each member, and the bits up to which all segments are mapped as one file (256 MB); beyond, n-grams go to their segments.
+BITS_EACH, MAPPED_BITS = 10, 1 << 31
 #: Distinct n-grams of one segment; a segment is built in one task.
 SEGMENT_GRAMS = 1 << 19
 #: Exact counts are looked up in a file up to so many distinct words (12 bytes each).
@@ -140,12 +142,32 @@ def segment_bits(grams: np.ndarray, counts: np.ndarray, size: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def _segment_size(members: int) -> int:
+    return max(64, members * BITS_EACH)
+
+
+def _levels_of(keys: np.ndarray, bits: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Levels of n-grams whose segment has `size` bits from byte `first` on."""
+    out = np.zeros(len(keys), np.int64)
+    alive = np.flatnonzero(size > 0)
+    for j in range(1, MOST_LEVEL + 1):
+        if not len(alive):
+            break
+        at = _probes(keys[alive], j, size[alive]).astype(np.int64)
+        hit = np.ones(len(alive), bool)
+        for k in range(PROBES):
+            hit &= (bits[first[alive] + (at[:, k] >> 3)] >> (at[:, k] & 7).astype(np.uint8) & 1).astype(bool)
+        alive = alive[hit]
+        out[alive] = j
+    return out
+
+
 @dataclass
 class LogFrequencyFilter:
     segments: int
     sizes: np.ndarray  # bits, (kind, segment)
     firsts: np.ndarray  # first byte
-    bits: np.ndarray | str  # or the file that holds them
+    bits: np.ndarray | str | None  # or the file that holds them; None: built and probed segment by segment
     train_tokens: int
     distinct: int
     unseen: float  # mass of unseen two-word continuations
@@ -153,31 +175,22 @@ class LogFrequencyFilter:
 
     def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Levels of n-grams by probing 1, 2, ... until one is missing."""
+        if self.bits is None:
+            raise ValueError("this filter is not mapped: its segments are probed where they are built")
         bits = shared_array(self.bits, "u1") if isinstance(self.bits, str) else self.bits
         own = (keys % np.uint64(self.segments)).astype(np.int64)
-        size, first = self.sizes[kind - 1][own], self.firsts[kind - 1][own]
-        out = np.zeros(len(keys), np.int64)
-        alive = np.flatnonzero(size > 0)
-        for j in range(1, MOST_LEVEL + 1):
-            if not len(alive):
-                break
-            at = _probes(keys[alive], j, size[alive]).astype(np.int64)
-            hit = np.ones(len(alive), bool)
-            for k in range(PROBES):
-                hit &= (bits[first[alive] + (at[:, k] >> 3)] >> (at[:, k] & 7).astype(np.uint8) & 1).astype(bool)
-            alive = alive[hit]
-            out[alive] = j
-        return out
-
-    def log_probabilities(self, tok: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 of every token's interpolated probability given the one before it."""
+        return _levels_of(keys, bits, self.sizes[kind - 1][own], self.firsts[kind - 1][own])
+
+    def log_probabilities(self, tok: np.ndarray, n: np.ndarray, level: Callable[[np.ndarray, int], np.ndarray] | None = None) -> np.ndarray:
+        """log10 of every token's interpolated probability given the one before it; `level` stands in for the mapped filter."""
+        level = level or self.level
         two, before = bigrams(tok, n)
         words, at = np.unique(np.concatenate((tok, before)), return_inverse=True)
-        one = level_count(self.level(words, 1))
+        one = level_count(level(words, 1))
         one[words == START] = 0
         unigram = (one + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1))
         pairs, pair_at = np.unique(two, return_inverse=True)
-        both = level_count(self.level(pairs, 2))[pair_at]
+        both = level_count(level(pairs, 2))[pair_at]
         context = one[at[len(tok) :]]
         context[before == START] = self.texts
         seen = np.minimum(1.0, both / np.maximum(context, np.maximum(both, 1)))
@@ -187,20 +200,24 @@ class LogFrequencyFilter:
 
 
 def fit(counts: DataFrame, segments: int, texts: int) -> LogFrequencyFilter:
-    """Build the filter's segments on the cluster and gather them: at most MOST_BITS bits in all."""
+    """Build the filter's segments on the cluster and gather them, unless they have more than MAPPED_BITS bits in all."""
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("distinct").alias("distinct"), F.sum("tokens").alias("tokens"), F.sum("once").alias("once"), F.sum("members").alias("members")).collect()}
     members = sum(r["members"] for r in totals.values())
-    each = min(BITS_EACH, MOST_BITS / members) if members else BITS_EACH
+    one, two = totals.get(1), totals.get(2)
+    unseen = min(0.99, max(0.01, two["once"] / two["tokens"])) if two and two["tokens"] else 0.99
+    sizes, firsts = np.zeros((2, segments), np.int64), np.zeros((2, segments), np.int64)
+    lm = LogFrequencyFilter(segments, sizes, firsts, None, int(one["tokens"]) if one else 0, int(one["distinct"]) if one else 0, float(unseen), max(1, texts))
+    if members * BITS_EACH > MAPPED_BITS:
+        return lm
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                size = max(64, int(r["members"] * each))
+                size = _segment_size(r["members"])
                 bits = segment_bits(np.frombuffer(r["grams"], "<u8"), np.frombuffer(r["counts"], "<u4"), size)
                 yield pa.RecordBatch.from_pydict({"kind": pa.array([r["kind"]], pa.int32()), "segment": pa.array([r["segment"]], pa.int32()), "size": [size], "bits": pa.array([bits], pa.binary())})
 
     built = materialize(counts.select("kind", "segment", "grams", "counts", "members").mapInArrow(build, "kind int, segment int, size long, bits binary"), "lm-segments")
-    sizes, firsts = np.zeros((2, segments), np.int64), np.zeros((2, segments), np.int64)
     path, at = shared_path(counts.sparkSession, "lm-bits"), 0
     fs, plain = filesystem(path)
     with fs.open_output_stream(plain, compression=None) as out:
@@ -209,9 +226,8 @@ def fit(counts: DataFrame, segments: int, texts: int) -> LogFrequencyFilter:
             out.write(bytes(r["bits"]))
             at += len(r["bits"])
         out.write(b"\0")
-    one, two = totals.get(1), totals.get(2)
-    unseen = min(0.99, max(0.01, two["once"] / two["tokens"])) if two and two["tokens"] else 0.99
-    return LogFrequencyFilter(segments, sizes, firsts, path, int(one["tokens"]) if one else 0, int(one["distinct"]) if one else 0, float(unseen), max(1, texts))
+    lm.bits = path
+    return lm
 
 
 def _runs(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -220,6 +236,90 @@ def _runs(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[
     return sorted_keys[np.concatenate(([0], cuts))].tolist() if len(sorted_keys) else [], np.split(values, cuts) if len(values) else []
 
 
+def _dealt(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by segment, and the bounds of the segments in it."""
+    own = (keys % np.uint64(segments)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    return order, np.searchsorted(own[order], np.arange(segments + 1))
+
+
+def _asked(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words (with the start) and pairs of some texts."""
+    two, before = bigrams(tok, n)
+    return np.unique(np.concatenate((tok, before))), np.unique(two)
+
+
+CHUNK = "chunk long, doc_id array<long>, held_out array<boolean>, text array<string>"
+
+
+def _scores_by_segment(rows: DataFrame, counts: DataFrame, lm: LogFrequencyFilter) -> DataFrame:
+    """Scores by a filter of any size: its segments are built and probed each in its own group, with the n-grams asked of it.
+
+    A segment is asked for an n-gram once a chunk of texts, so its group grows with the texts a segment stands for and not
+    with the corpus.
+    """
+    segments, room = lm.segments, lm.train_tokens + 0.5 * (lm.distinct + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for b in batches:
+            for i, j in text_slices(b.column(2)):
+                part = b.slice(i, j - i)
+                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), part.column(k)) for k in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([(b.column(3)[0].as_py() << 40) + number]), *lists], names=["chunk", "doc_id", "held_out", "text"])
+                number += 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, texts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for kind, keys in enumerate(_asked(*tokens(texts.values)), 1):
+                    order, cuts = _dealt(keys, segments)
+                    to = np.flatnonzero(np.diff(cuts))
+                    asked = [keys[order[cuts[s] : cuts[s + 1]]].tobytes() for s in to.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), chunk)), pa.array(np.full(len(to), kind, np.int32)), pa.array(to.astype(np.int32)), pa.array(asked, pa.binary())], names=["chunk", "kind", "segment", "keys"])
+
+    def answer(asked: pd.DataFrame, learnt: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(asked["keys"]), "<u8")
+        level, number = np.zeros(len(keys), np.uint8), np.zeros(len(keys), "<u4")
+        if len(learnt) and len(keys):
+            grams, c = np.frombuffer(learnt["grams"].iat[0], "<u8"), np.frombuffer(learnt["counts"].iat[0], "<u4")
+            size = _segment_size(int(learnt["members"].iat[0]))
+            bits = np.frombuffer(segment_bits(grams, c, size), np.uint8)
+            level = _levels_of(keys, bits, np.full(len(keys), size), np.zeros(len(keys), np.int64)).astype(np.uint8)
+            if learnt["kind"].iat[0] == 1:
+                where = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+                number = np.where(grams[where] == keys, c[where], 0).astype("<u4")
+        lens = asked["keys"].map(len).to_numpy(np.int64) >> 3
+        ends = np.cumsum(lens)
+        spans = list(zip((ends - lens).tolist(), ends.tolist(), strict=True))
+        exact = [number[a:b].tobytes() if k == 1 else b"" for k, (a, b) in zip(asked["kind"], spans, strict=True)]
+        return pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "segment": asked["segment"], "levels": [level[a:b].tobytes() for a, b in spans], "counts": exact})
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, held, texts = (chunk.column(name).combine_chunks().flatten() for name in ("doc_id", "held_out", "text"))
+        tok, n = tokens(texts)
+        keys, found, number = _asked(tok, n), [], np.zeros(0)
+        answers = answers.sort_by("segment")
+        for kind in (1, 2):
+            own = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+            order = _dealt(keys[kind - 1], segments)[0]
+            out = np.zeros(len(order), np.int64)
+            out[order] = np.frombuffer(b"".join(own.column("levels").to_pylist()), np.uint8)
+            found.append(out)
+            if kind == 1:
+                number = np.zeros(len(order))
+                number[order] = np.frombuffer(b"".join(own.column("counts").to_pylist()), "<u4")
+        c, starts = number[np.searchsorted(keys[0], tok)], np.cumsum(n) - n
+        model = lm.log_probabilities(tok, n, lambda _, kind: found[kind - 1])
+        return pa.table([ids, held, pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(n), lm.train_tokens)), pa.array(np.add.reduceat(np.log10((c + 0.5) / room), starts)), pa.array(np.add.reduceat(model, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    chunks = materialize(rows.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(deal, CHUNK), "lm-chunks")
+    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, kind int, segment int, keys binary")
+    learnt = counts.select("kind", "segment", "grams", "counts", "members")
+    answers = asked.groupBy("kind", "segment").cogroup(learnt.groupBy("kind", "segment")).applyInPandas(answer, "chunk long, kind int, segment int, levels binary, counts binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -239,6 +339,8 @@ def scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame
     words = counts.where("kind = 1").select("segment", "grams", "counts")
     n_train, room = lm.train_tokens, lm.train_tokens + 0.5 * (lm.distinct + 1)
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
+    if lm.bits is None:
+        return _scores_by_segment(rows, counts, lm)
     if lm.distinct <= broadcast_words:
         grams_at, counts_at = shared_path(spark, "lm-words"), shared_path(spark, "lm-word-counts")
         (fs, one), (_, two) = filesystem(grams_at), filesystem(counts_at)

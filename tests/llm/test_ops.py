@@ -388,6 +388,17 @@ def test_filter_levels_never_fall_short():
     assert (lm.level(rng.integers(0, 1 << 63, 4000, dtype=np.uint64), 2) > 0).mean() < 0.03
 
 
+def test_scores_keep_their_bits_beyond_the_mapped_size(spark, docs, monkeypatch):
+    more = documents([(7_000_000_000_000_000_001, "one two", "en", "a"), (None, "two three", "en", "a")], spark).unionByName(docs)
+    ordered = lambda rows: sorted(map(tuple, rows), key=str)
+    want = ordered(bloomlm.scores(more).collect())
+    for name in ("MOST_BITS", "MAPPED_BITS"):
+        monkeypatch.setattr(bloomlm, name, 100, raising=False)
+    got = ordered(bloomlm.scores(more).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], atol=1e-9)
+
+
 # 9
 
 

@@ -279,10 +279,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the smallest doc_id, with the columns of `docs`; of repeated rows one stays."""
-    report = materialize(near_duplicates(docs, percent), "minhash-report")
-    kept = report.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    repeats = not kept.where("_n > 1").isEmpty()
-    kept = kept.drop("_n")
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeats else out
+    """One row of each component, with the columns of `docs`: the first by doc_id (null last), then by a digest of all values.
+
+    Near-duplicates are decided by row here, so different texts under one doc_id, or under none, are documents of their own.
+    Rows without words link with nothing: of those with equal doc_id and text one stays, of those with a null doc_id all.
+    """
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-rows")
+    report = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent)
+    linked = report.select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+    whole = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    # a group is a component; without words, a doc_id and text; else the row itself
+    wordless = F.when(F.col("doc_id").isNull(), F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
+    ranked = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), whole.alias("w"), F.col("_row").alias("r")).alias("_rank"), wordless.alias("_own"))
+    groups = ranked.join(linked, "_row").withColumn("_own", F.when(F.col("_group").isNull(), F.col("_own")))
+    kept = groups.groupBy("_group", "_own").agg(F.min("_rank").alias("_first")).select(F.col("_first.r").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -294,6 +294,24 @@ def test_near_duplicates_equal_brute_force(spark, docs, nothing, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({v for v in brute_components(word_sets(odd_rows())).values()})
 
 
+def test_deduplicated_decides_by_row(spark):
+    say = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [
+        (None, say("a"), "en", "s"), (None, say("b"), "en", "s"), (None, say("b") + " end", "en", "s"), (None, "", "en", "s"), (None, None, "en", "s"),  # null ids
+        (5, say("c"), "en", "s"), (5, say("d"), "en", "t"), (5, say("d"), "en", "r"), (5, "", "en", "s"), (5, "", "en", "s"),  # one id, several texts
+        (9, say("e"), "en", "s"), (None, say("e"), "en", "s"), (3, say("e") + " end", "en", "s"),  # a null id comes last
+    ]
+    want, stays = [rows[i] for i in (0, 3, 4, 5, 7, 8, 12)], []
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.text, r.lang, r.source) for r in minhash.deduplicated(documents(order, spark)).collect()]
+        rest = [r for r in got if r[1] not in (say("b"), say("b") + " end")]
+        assert sorted(r[:3] for r in rest if r[0] is not None) == sorted(r[:3] for r in want if r[0] is not None)
+        assert sorted((str(r[1]) for r in rest if r[0] is None)) == sorted(str(r[1]) for r in want if r[0] is None)
+        assert len(got) == len(want) + 1
+        stays.append({r for r in got if r[1] == say("d")})
+    assert stays[0] == stays[1]
+
+
 def test_large_near_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = random.Random(1)

@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = batch_tokenizer(path)
+        tok = batch_tokenizer(path, plain=False)
         for batch in batches:
             for i, j in text_slices(batch.column(1)):
                 b = batch.slice(i, j - i)

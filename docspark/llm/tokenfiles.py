@@ -71,7 +71,7 @@ def tokenise(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> D
     ordered = rows.repartition(max(1, parts), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, out = batch_tokenizer(path), None
+        tok, out = batch_tokenizer(path, plain=False), None
         for batch in batches:
             for i, j in text_slices(batch.column(1)):
                 b = batch.slice(i, j - i)

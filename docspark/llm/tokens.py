@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -31,14 +32,18 @@ class BatchTokenizer:
 
     A space between two characters that are no white space always starts a new pre-token of the byte-level scheme, and a
     sign after a letter does, so the ids of a text are those of these parts in turn. They repeat far more often than texts do.
+    Texts that hold an added token's content are encoded by the library as they are; with `plain`, such content is text as any
+    other (the library's encode_special_tokens).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = plain
+        added = [] if plain else [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = "|".join([SPACES, *added])
         self.model, self.split = self.whole.model, regex.compile(PRE_TOKENS).findall
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in printable]
@@ -79,7 +84,7 @@ class BatchTokenizer:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        odd = np.asarray(pc.match_substring_regex(texts, SPACES))
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         if not odd.any():
             return self._safe(texts)
         at, safe_at = np.flatnonzero(odd), np.flatnonzero(~odd)
@@ -93,11 +98,11 @@ class BatchTokenizer:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-_kept: dict[str, BatchTokenizer] = {}
+_kept: dict[tuple[str, bool], BatchTokenizer] = {}
 
 
-def batch_tokenizer(path: str) -> BatchTokenizer:
+def batch_tokenizer(path: str, plain: bool = True) -> BatchTokenizer:
     """One tokenizer a worker process; its word cache lasts over tasks."""
-    if path not in _kept:
-        _kept[path] = BatchTokenizer(path)
-    return _kept[path]
+    if (path, plain) not in _kept:
+        _kept[path, plain] = BatchTokenizer(path, plain)
+    return _kept[path, plain]

@@ -169,6 +169,20 @@ def test_batch_tokenizer_equals_library():
     assert tokens.batch_tokenizer(tokens.tokenizer_path()).encode(pa.array([], pa.string()))[1].tolist() == []
 
 
+def test_added_tokens_as_the_unmodified_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    texts = ["a<|endoftext|> x", "<|endoftext|>", "a  <|endoftext|>", "x<|endoftext|><|endoftext|>y", "a <|endoftext| b", "no such token"]
+    ids, n = tokens.BatchTokenizer(tokens.tokenizer_path()).encode(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    few = documents([(i, t, "en", "a") for i, t in enumerate(texts)], spark)
+    crc = lambda end: [zlib.crc32(np.array([*w, end], "<u4").tobytes()) for w in want]
+    assert [r[3] for r in sorted(map(tuple, tokenfiles.round_trip(few).collect()))] == crc(0)
+    assert [r.ids_crc32 for r in packing.packed_documents(few).orderBy("doc_id").collect()] == crc(2)
+
+
 def test_packing(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_PIECES", 16)
     got = packing.packed_documents(docs).toPandas()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (single machine only)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,8 +33,8 @@ def shared_root(spark: SparkSession) -> str:
         local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
         if not local:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='docspark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_roots.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='docspark-')}"
+        _own_roots[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
@@ -54,7 +59,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=256)
 def shared_array(uri: str, kind: str) -> np.ndarray:
     """A read-only array in a file of the shared folder: mapped where the folder is mounted, so a node's workers share one
     copy; else read once a worker."""
@@ -70,7 +75,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     n = len(texts)
     if not n:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64()))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()))
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if i > start and total + size > limit:
@@ -85,22 +90,47 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_blocks(df: DataFrame, keys: list[str], salt: Column, size: int) -> DataFrame:
+#: Rows from which on a key counts as hot, and hot keys that are broadcast (a table of n rows has at most n / HOT_ROWS of them).
+HOT_ROWS, BROADCAST_KEYS = 1024, 500_000
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, hot: int = HOT_ROWS) -> DataFrame:
+    """rows with the columns of per_key (one row a key, `n` rows each): an inner join that puts no hot key in one task.
+
+    Rows of hot keys stay where they are, since those keys are broadcast; all others are joined on the key. Where the hot
+    keys themselves are too many to broadcast, adaptive execution has to split them.
+    """
+    big = per_key.where(F.col(n) > hot)
+    some = big.limit(BROADCAST_KEYS + 1).count()
+    if not some or some > BROADCAST_KEYS:
+        return rows.join(per_key, keys)
+    more = [c for c in per_key.columns if c not in keys]
+    marked = rows.join(F.broadcast(big.select(*keys, F.struct(*more).alias("_hot"))), keys, "left")
+    warm = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in more])
+    cold = marked.where("_hot is null").drop("_hot").join(per_key.where(F.col(n) <= hot), keys)
+    return warm.unionByName(cold.select(*warm.columns))
+
+
+def in_blocks(df: DataFrame, keys: list[str], salt: Column, size: int, weight: Column | None = None, most: int = 0) -> DataFrame:
     """Deal the rows of each key group to blocks so that all pairs of rows meet and no task holds a whole large group.
 
-    A group of n rows gets m = ceil(n / size) sub-blocks; a row of sub-block s goes to the m block pairs
-    (min(s, t), max(s, t)). Adds `bi`, `bj` (the pair) and `sub` (the row's own sub-block); groups of one row are left out.
-    Every pair of rows meets exactly once if rows with sub = bi are paired with rows with sub = bj.
+    A group of n rows gets m = ceil(n / size) sub-blocks, or as many as its weight has times `most`; a row of sub-block s
+    goes to the m block pairs (min(s, t), max(s, t)). Adds `bi`, `bj` (the pair) and `sub` (the row's own sub-block); groups
+    of one row are left out. Every pair of rows meets exactly once if rows with sub = bi are paired with rows with sub = bj.
+    The blocks are dealt by key and pair, not by key alone.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    m = F.ceil(F.col("_n") / F.lit(size)).cast("int")
+    m = F.ceil(F.count(F.lit(1)) / F.lit(size))
+    if weight is not None:
+        m = F.greatest(m, F.ceil(F.sum(weight) / F.lit(most)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), m.cast("int").alias("_m")).where("_n > 1")
     return (
-        df.join(sizes, keys)
-        .withColumn("sub", F.pmod(salt, m).cast("int"))
-        .withColumn("_t", F.explode(F.sequence(F.lit(0), m - 1)))
+        join_by_key(df, sizes, keys, "_n")
+        .withColumn("sub", F.pmod(salt, "_m").cast("int"))
+        .withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
         .withColumn("bi", F.least("sub", "_t"))
         .withColumn("bj", F.greatest("sub", "_t"))
-        .drop("_t", "_n")
+        .drop("_t", "_n", "_m")
+        .repartition(*keys, "bi", "bj")
     )
 
 
@@ -109,11 +139,22 @@ MOST_BUCKETS = 8192
 
 
 def range_buckets(rows: DataFrame, column: str, per: int) -> DataFrame:
-    """Adds `bucket`: the number of the range of `column` that a row is in, about `per` rows each, nulls in bucket 0."""
+    """Adds `bucket`: the number of the range of `column` that a row is in, about `per` rows each, nulls in bucket 0.
+
+    The edges are searched in two steps, so a row costs about the square root of their number.
+    """
     parts = min(MOST_BUCKETS, -(-rows.count() // per))
     edges: list = []
     if parts > 1:
         cuts = F.percentile_approx(column, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))
         edges = sorted(set(rows.where(F.col(column).isNotNull()).agg(cuts).first()[0] or []))
-    bucket = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(column))), F.lit(0)) if edges else F.lit(0)
-    return rows.withColumn("bucket", bucket)
+    if not edges:
+        return rows.withColumn("bucket", F.lit(0))
+    step = math.isqrt(len(edges) - 1) + 1
+
+    def below(some: Column) -> Column:
+        return F.array_size(F.filter(some, lambda e: e < F.col(column)))
+
+    coarse = below(F.array(*map(F.lit, edges[step - 1 :: step])))
+    fine = below(F.slice(F.array(*map(F.lit, edges)), F.col("_coarse") * step + 1, F.lit(step)))
+    return rows.withColumn("_coarse", F.coalesce(coarse, F.lit(0))).withColumn("bucket", F.coalesce(F.col("_coarse") * step + fine, F.lit(0))).drop("_coarse")

@@ -67,11 +67,42 @@ def test_ann_odd_vectors(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 0.0]), (6, [nan, 0.0, 1.0]), (7, [float("inf"), 0.0, 0.0]), (8, []), (9, [1.0, 2.0]), (100, [0.5, 0.5, 0.0]), (1, [1.0, 0.0, 0.0])]
     v = vectors(spark, rows)
     got = ann.search(v, v.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
-    assert got[0].score == 0.0 and got[2].score == pytest.approx(2**0.5)
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 1), (0, 3, 100), (0, 4, 2), (100, 1, 0), (100, 2, 1), (100, 3, 1), (100, 4, 2)]
+    assert got[0].score == 0.0 and got[3].score == pytest.approx(2**0.5)
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_ann_repeated_ids_take_their_places(spark):
+    rows = [(0, [1.0, 0.0]), *[(5, [1.0, 0.1])] * 12, *[(i, [1.0, 0.1 * i]) for i in range(6, 12)]]
+    v = vectors(spark, rows)
+    got = ann.search(v, v.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(i, 5) for i in range(1, 11)]
+    tied = vectors(spark, [(0, [1.0, 0.0]), *[(i, [1.0, 1.0]) for i in range(30, 1, -1)]])
+    assert [r.vec_id for r in ann.search(tied, tied.where("vec_id = 0")).orderBy("rank").collect()] == list(range(2, 12))
+
+
+@pytest.mark.parametrize("spread", [0.15, 1.0])  # in clusters, and all over the place
+def test_ann_cells_keep_recall(spark, monkeypatch, spread):
+    monkeypatch.setattr(ann, "CELL_ROWS", 250)
+    monkeypatch.setattr(ann, "CHUNK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 16))
+    m = (centres[rng.integers(0, 20, 2000)] * (spread < 1) + spread * rng.standard_normal((2000, 16))).astype(np.float32)
+    v = vectors(spark, [(i, x.tolist()) for i, x in enumerate(m)])
+    got = ann.search(v, v.where("vec_id % 50 = 0")).toPandas()
+    assert (got.groupby("query_id").size() == 10).all() and got["query_id"].nunique() == 40
+    m, hits = m.astype(float), 0
+    for q, g in got.groupby("query_id"):
+        dist = np.sqrt(((m - m[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(2000), dist))[:10]) & set(g["vec_id"]))
+        assert np.allclose(g["score"], dist[g["vec_id"]])
+    assert hits >= 0.95 * len(got)
+    probes = ann.fit_cells({16: m}, {16: 30}).probes[16]
+    assert probes <= 6 if spread < 1 else probes > 6
+
+
 def test_ann_recall_and_bounds(spark):
     rng = np.random.default_rng(2)
     m = rng.standard_normal((1500, 40)).astype(np.float32)

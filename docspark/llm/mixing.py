@@ -4,36 +4,35 @@ Every source's documents are put in a pseudo-random order (md5 of seed and doc_i
 the output shards splits the exact block quotas of all sources at once: a node draws its left child's blocks from the
 multivariate hypergeometric law, so every shard gets whole blocks, quotas add up exactly, and shards stay mixed. Each
 leaf walks its own path with random numbers seeded by the node, so leaves need no communication and may be redone anywhere.
+The pieces of a leaf's blocks are written as its shard, shuffled there; what the mix takes is read back from the shards.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import materialize
 
 BLOCK_WORDS = 4096
 SHARD_WORDS = 4_000_000
-#: Sub-buckets of a source in its random order, so that no window holds a whole source: the leading hex digits of the md5.
-BUCKET_DIGITS = 3
+#: Rows that a sub-bucket of a source may have, so that no window holds a whole source; buckets are leading hex digits of the md5.
+BUCKET_ROWS = 50_000
 WEIGHTS = (3, 1, 2)
+#: A draw is made among less than a thousand million blocks; with more words than MOST_BLOCKS blocks hold, blocks grow.
+MOST_BLOCKS = 1 << 29
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text; null text: 0)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len(t.as_py().split()) if t.is_valid else 0 for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, source string, size long")
+def word_sizes(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row (tells repeated rows apart), doc_id, source, size (words of the whole text; null text: 0)."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -66,8 +65,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def permuted(sizes: DataFrame, seed: int) -> DataFrame:
     """Adds `first`: words of the source before the document in its random order. Two-level running sums; equal ids keep apart by size."""
+    digits = max(3, math.ceil(math.log(max(1, sizes.count() / BUCKET_ROWS), 16)))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    rows = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     order = Window.partitionBy("source", "bucket")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +77,7 @@ def permuted(sizes: DataFrame, seed: int) -> DataFrame:
         rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(buckets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
         .withColumn("first", F.col("base") + F.col("inner"))
-        .select("doc_id", "source", "size", "key", "first")
+        .select("row", "doc_id", "source", "size", "first")
     )
 
 
@@ -117,20 +117,22 @@ def splitting_tree(targets: DataFrame, block_words: int, shard_words: int, seed:
                 first, n = _path(int(shard), int(shards), np.array([q["quota"] for q in quotas], dtype=np.int64), seed)
                 yield pd.DataFrame({"source": [q["source"] for q in quotas], "first_block": first, "blocks": n, "shard": int(shard)})
 
-    leaves = root.repartition("shard").mapInPandas(walk, "source string, first_block long, blocks long, shard long").where("blocks > 0")
+    parts = root.select("shards").limit(1).collect()  # a number, as adaptive execution would merge such small rows into one task
+    leaves = root.repartition(min(1024, int(parts[0]["shards"]) if parts else 1), "shard").mapInPandas(walk, "source string, first_block long, blocks long, shard long").where("blocks > 0")
     return leaves.select("source", "shard", F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("blocks") - 1)).alias("block"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """The mix and the documents' table.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 17, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The mix's shards, as written, and the documents' table.
 
-    First: doc_id, source, pass (1 or 2), start, words (the part of the document taken), block, shard, place (orders the shard).
-    Second: doc_id, source, size, first, source_size, target. A source's word stream of round(target) words runs over its
-    documents in random order, and over them again for the part of the target beyond the source's size.
+    First: shard, place, row, doc_id, source, pass (1 or 2), start, words (the part of the document taken), block. Shards
+    stand together in the files, each in the order of `place`, which is random. Second: row, doc_id, source, size, first,
+    source_size, target. A source's word stream of round(target) words runs over its documents in random order, and over
+    them again for the part of the target beyond the source's size. `row` numbers the rows of docs where they have a number.
     Null or empty texts have size 0 and are never taken; a null source is a source; repeated rows count each; an empty table
     gives empty results; columns other than doc_id, source and text are not read.
     """
-    sizes = materialize(word_sizes(docs), "mix-sizes")
+    sizes = materialize(word_sizes(docs, row), "mix-sizes")
     targets = materialize(source_targets(sizes, weights, share, most), "mix-targets")
     placed = (
         permuted(sizes, seed)
@@ -138,6 +140,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         .drop("s3")
     )
     placed = materialize(placed, "mix-placed")
+    total = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count(F.lit(1))).first()
+    block_words = max(block_words, math.ceil(total[0] / max(1, MOST_BLOCKS - total[1])))
     goal = F.round("target").cast("long")
     passes = placed.where("size > 0").withColumn("pass", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("at", F.col("first") + (F.col("pass") - 1) * F.col("source_size"))
     pieces = (
@@ -146,35 +150,48 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("stop") - 1) / block_words))))
         .withColumn("from", F.greatest(F.col("at"), F.col("block") * block_words))
         .withColumn("to", F.least(F.col("stop"), (F.col("block") + 1) * block_words))
-        .select("doc_id", "source", "pass", (F.col("from") - F.col("at")).alias("start"), (F.col("to") - F.col("from")).alias("words"), "block")
+        .select("row", "doc_id", "source", "pass", (F.col("from") - F.col("at")).alias("start"), (F.col("to") - F.col("from")).alias("words"), "block")
     )
     tree = splitting_tree(targets, block_words, shard_words, seed).select(F.col("source").alias("s4"), F.col("block").alias("b4"), "shard")
-    mixed = pieces.join(tree, F.col("source").eqNullSafe(F.col("s4")) & (F.col("block") == F.col("b4"))).drop("s4", "b4")
-    place = F.xxhash64(F.lit(seed), "shard", "source", "block", "doc_id", "pass")
-    return mixed.withColumn("place", place), placed
+    # a row a block on either side, so neither is broadcast; no key has more than a block's documents
+    mixed = pieces.hint("merge").join(tree, F.col("source").eqNullSafe(F.col("s4")) & (F.col("block") == F.col("b4"))).drop("s4", "b4")
+    place = F.xxhash64(F.lit(seed), "shard", "source", "block", "row", "pass")
+    shards = mixed.withColumn("place", place).repartition("shard").sortWithinPartitions("shard", "place", "row", "pass")
+    return materialize(shards.select("shard", "place", "row", "doc_id", "source", "pass", "start", "words", "block"), "mix-shards"), placed
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted), shards (lowest shard with it)."""
-    mixed, placed = mix(docs, **how)
-    got = mixed.groupBy("doc_id", "source").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
-    got = got.select(F.col("doc_id").alias("d5"), F.col("source").alias("s5"), "taken", "first_shard")
-    rows = placed.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("first")))
-    copies = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source"))
-    goal = F.round("target").cast("long")
-    own = F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("first"))) + F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("source_size") - F.col("first")))
-    joined = rows.withColumn("copies", copies).join(got, F.col("doc_id").eqNullSafe(F.col("d5")) & F.col("source").eqNullSafe(F.col("s5")), "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.when(F.col("copies") > 1, own).otherwise(F.coalesce(F.col("taken"), F.lit(0))).cast("long").alias("taken"), "first_shard")
+    """doc_id, size, source_size, target, taken (words of the document in the written shards, repeats counted), first_shard (the lowest with any)."""
+    shards, placed = mix(docs, **how)
+    got = shards.groupBy("row").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
+    joined = placed.join(got, "row", "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word and the white space after it."""
+    lead = F.when(text.rlike(f"^{SPACE}"), 1).otherwise(0)
+    rest = F.element_at(F.split(text, SPACE, (n + 1 + lead).cast("int")), -1)
+    return F.left(text, F.length(text) - F.length(rest))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, whole, with the columns of `docs`: one row for each pass that takes any of the document's words."""
-    mixed, _ = mix(docs, **how)
-    # one row a pass: the texts move once, in this join
-    rows = mixed.select("doc_id", "source", "pass").distinct()
-    rows = rows.select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"))
-    joined = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["mixed_id"]) & docs["source"].cast("string").eqNullSafe(rows["mixed_source"]))
-    return joined.select(*[docs[c] for c in docs.columns])
+    """The mix as documents, with the columns of `docs`, written shard by shard in each shard's order.
+
+    One row for each pass that takes any of a document's words, in the shard and place of its first piece. The one document
+    of a source at which its target ends is cut there, after the words that the mix takes (`n_chars`, where there is such a
+    column, is that of the cut text); all others are whole.
+    """
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "mix-documents")
+    shards, placed = mix(keyed.select("_row", "_doc.doc_id", "_doc.source", "_doc.text"), row=F.col("_row"), **how)
+    rows = shards.groupBy("row", "pass").agg(F.sum("words").alias("words"), F.min(F.struct("block", "start", "shard", "place")).alias("at"))
+    rows = rows.join(placed.select("row", "size"), "row").select(F.col("row").alias("_row"), "words", "size", F.col("at.shard").alias("shard"), F.col("at.place").alias("place"))
+    joined = keyed.join(rows, "_row")
+    text, cut = F.col("_doc.text").cast("string"), F.col("words") < F.col("size")
+    short = first_words(text, F.col("words"))
+    new = {"text": F.when(cut, short).otherwise(text)} | ({"n_chars": F.when(cut, F.length(short)).otherwise(F.col("_doc.n_chars"))} if "n_chars" in docs.columns else {})
+    out = joined.select("shard", "place", *[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_doc.{c}")).alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    return out.repartition("shard").sortWithinPartitions("shard", "place").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 ORACLE = """

@@ -496,6 +496,40 @@ def test_mix_hits_targets(spark, docs, nothing):
     assert whole.columns == docs.columns and whole.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 8
 
 
+def test_mixed_texts_are_what_the_mix_takes(spark):
+    rng = random.Random(3)
+    rows = [(i, " " * (i % 2) + " \t".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 90))) + "\n" * (i % 3), "en", "abc"[i % 3]) for i in range(60)] + [(7, None, "en", "a"), (8, "", "en", None), (None, "x y z", "en", None)]
+    docs = documents(rows, spark)
+    took = mixing.taken(docs, block_words=16, shard_words=200)
+    words = sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(docs, block_words=16, shard_words=200).collect())
+    assert words == took.agg(F.sum("taken")).first()[0]
+    cut = spark.createDataFrame([(" a  b\tc d ", 2), ("a b c", 1)], "t string, n int").select(mixing.first_words(F.col("t"), F.col("n")).alias("x")).collect()
+    assert [r.x for r in cut] == [" a  b\t", "a "]
+
+
+def test_taken_words_come_from_the_leaves(spark, docs, monkeypatch):
+    shards, placed = mixing.mix(docs, block_words=64, shard_words=1000)
+    got = shards.toPandas()
+    assert got["shard"].nunique() > 3 and placed.count() == len(odd_rows())
+    for _, g in got.groupby("shard"):
+        assert not g["block"].is_monotonic_increasing  # shuffled inside the shard
+    whole = mixing.taken(docs, block_words=64, shard_words=1000).agg(F.sum("taken")).first()[0]
+    full = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: full(*a).where("shard <> 1"))
+    less = mixing.taken(docs, block_words=64, shard_words=1000).agg(F.sum("taken")).first()[0]
+    assert less == whole - got[got["shard"] == 1]["words"].sum() < whole
+
+
+def test_mixing_copies_and_blocks_that_grow(spark, docs, monkeypatch):
+    say = " ".join(f"w{i}" for i in range(30))
+    copies = documents([(1, say, "en", "a")] * 5 + [(2, say, "en", "b")], spark)
+    got = sorted((r.doc_id, r.taken) for r in mixing.taken(copies, block_words=8, shard_words=64).collect())
+    assert [i for i, _ in got] == [1] * 5 + [2] and abs(sum(t for _, t in got) - 270) <= 1 and all(t <= 60 for _, t in got)
+    want = sorted(map(tuple, mixing.taken(docs, block_words=64).drop("first_shard").collect()), key=str)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 30)
+    assert sorted(map(tuple, mixing.taken(docs, block_words=64).drop("first_shard").collect()), key=str) == want
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([17, 0, 5, 101])
     seen = [set() for _ in quotas]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import in_blocks, range_buckets, text_slices
+from docspark.llm.common import in_blocks, join_by_key, range_buckets, text_slices
 from docspark.llm.shingles import mix64, word_hashes
 
 FINGERPRINT_BITS = 64
@@ -108,19 +108,23 @@ def within_radius(fps: DataFrame) -> DataFrame:
 
 
 def in_turn(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, next_text: the next document in descending doc_id (the last: the first), equal ids by text.
+    """doc_id, text, next_id, next_text: the next document in descending doc_id (the last: the first; null ids come last), equal ids by a hash of the text.
 
     Range buckets of about BUCKET_ROWS documents keep neighbours together; only each bucket's first document crosses over.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = range_buckets(rows, "doc_id", BUCKET_ROWS)
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
+    rows = range_buckets(rows, "doc_id", BUCKET_ROWS).withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "h", "text")
     inside = rows.select("doc_id", "text", "bucket", F.lead("doc_id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text"), F.lead(F.lit(True)).over(order).alias("has_next"))
-    tops = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text"), F.struct((-F.col("doc_id")).alias("o"), F.col("text").alias("t"))).alias("top"))
-    nexts = Window.orderBy(F.desc("bucket"))
-    every = Window.partitionBy()
-    follow = tops.select(F.col("bucket").alias("b2"), F.coalesce(F.lead("top").over(nexts), F.max_by("top", "bucket").over(every)).alias("after"))
-    joined = inside.join(follow, (F.col("bucket") == F.col("b2")) & F.col("has_next").isNull(), "left")
+    # of each bucket's first document its id and text hash alone are put in order; its text comes by a join
+    first = F.struct(F.col("doc_id").isNull().alias("n"), (-F.col("doc_id")).alias("o"), "h")
+    tops = rows.groupBy("bucket").agg(F.min(first).alias("top")).select(F.col("bucket").alias("b2"), (-F.col("top.o")).alias("d2"), F.col("top.h").alias("h2"))
+    before = F.lag("b2").over(Window.orderBy("b2"))
+    ends = tops.select(F.col("b2").alias("b1"), F.coalesce(before, F.max("b2").over(Window.partitionBy())).alias("b2"))
+    same = (F.col("bucket") == F.col("b2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))
+    texts = rows.join(F.broadcast(tops), same).groupBy("b2").agg(F.first(F.struct("doc_id", "text")).alias("after"))  # equal ones have one text
+    follow = ends.join(texts, "b2").select("b1", "after")
+    joined = inside.join(follow.hint("merge"), (F.col("bucket") == F.col("b1")) & F.col("has_next").isNull(), "left")
     return joined.select("doc_id", "text", F.coalesce("next_id", "after.doc_id").alias("next_id"), F.coalesce("next_text", "after.text").alias("next_text"))
 
 
@@ -160,5 +164,5 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 def report_with_links(docs: DataFrame, save) -> DataFrame:
     """fingerprint_report() with `n_within`; save(frame) keeps the report, which is needed twice."""
     report = save(fingerprint_report(docs))
-    links = within_radius(report.select("fp")).select("fp", (F.col("copies") - 1 + F.col("near")).alias("n_within"))
-    return report.join(links, "fp").drop("fp")
+    links = save(within_radius(report.select("fp"))).select("fp", "copies", (F.col("copies") - 1 + F.col("near")).alias("n_within"))
+    return join_by_key(report, links, ["fp"], "copies").drop("fp", "copies")

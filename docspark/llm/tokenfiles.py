@@ -14,17 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm import rans
-from docspark.llm.common import filesystem, materialize, range_buckets, shared_path, text_slices
+from docspark.llm.common import filesystem, materialize, shared_path, text_slices
 from docspark.llm.tokens import batch_tokenizer, tokenizer_path
 
 END_ID = 0
 #: Documents of one range file; ids of a block (whole documents, so the last one may pass it).
 BUCKET_ROWS = 2048
 BLOCK_IDS = 1 << 20
+#: Most range files; beyond, a file has more documents.
+MOST_PARTS = 100_000
 
 PLAIN = "bucket int, file string, n_docs long, n_ids long, counts binary"
 INDEX = "bucket int, block int, file string, offset long, length long, n_docs long, n_ids long"
@@ -65,33 +68,25 @@ class _PlainFile:
 
 
 def tokenise(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
-    """Write the plain files; one row each."""
-    rows = range_buckets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", BUCKET_ROWS)
-    parts = rows.select("bucket").distinct().count()
-    ordered = rows.repartition(max(1, parts), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
+    """Write the plain files, one a range partition of the documents; one row each. Equal doc_ids may lie in several."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("at"))
+    parts = min(MOST_PARTS, max(1, -(-docs.count() // BUCKET_ROWS)))
+    order = [F.asc_nulls_first("doc_id"), "at"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, out = batch_tokenizer(path, plain=False), None
         for batch in batches:
             for i, j in text_slices(batch.column(1)):
                 b = batch.slice(i, j - i)
-                bucket = np.asarray(b.column(2))
+                if out is None:  # the number of a range partition is its place in the order
+                    out = _PlainFile(folder, TaskContext.get().partitionId())
                 ids, n = tok.encode(b.column(1))
-                ends = np.cumsum(n)
-                ids = np.insert(ids, ends, end_id)
-                n = n + 1
-                for one in np.unique(bucket).tolist():
-                    lo, hi = np.searchsorted(bucket, [one, one + 1]).tolist()
-                    if out is None or out.bucket != one:
-                        if out is not None:
-                            yield out.close(folder)
-                        out = _PlainFile(folder, one)
-                    a, z = int(n[:lo].sum()), int(n[:hi].sum())
-                    out.add(b.column(0).slice(lo, hi - lo), ids[a:z], n[lo:hi])
+                out.add(b.column(0), np.insert(ids, np.cumsum(n), end_id), n + 1)
         if out is not None:
             yield out.close(folder)
 
-    return ordered.select("doc_id", "text", "bucket").mapInArrow(run, PLAIN)
+    return ordered.select("doc_id", "text").mapInArrow(run, PLAIN)
 
 
 def frequency_table(plain: DataFrame) -> np.ndarray:
@@ -202,7 +197,7 @@ def read_files(index: DataFrame, frequencies: np.ndarray) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write all documents and read them back; doc_id, start, n_tokens, ids_crc32.
 
-    A null text is empty and has its end id alone; rows with one doc_id stand in order of their texts, null ids come first;
+    A null text is empty and has its end id alone; rows with one doc_id stand in the order they are read, null ids come first;
     an empty table gives an empty result; columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from array import array
 
 import numpy as np
@@ -11,8 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Distinct parts of texts whose ids a worker keeps.
-CACHE_PARTS = 1_200_000
+#: Bytes of distinct parts and their ids that a worker keeps, with about 200 for each part's objects.
+CACHE_BYTES = 96 << 20
 #: Fixed value: the public byte-level BPE scheme's pre-token pattern.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space next to any other white space; texts with one are encoded by the library as they are.
@@ -27,6 +27,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _byte_level(path: str) -> None:
+    """Refuse files whose pre-tokens are not those of PRE_TOKENS: only for these are a text's parts its pre-tokens."""
+    with open(path, encoding="utf-8") as f:
+        scheme = json.load(f)
+    pre = scheme.get("pre_tokenizer") or {}
+    if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or scheme.get("normalizer"):
+        raise ValueError(f"{path} is not a byte-level file with the public pre-token pattern, no prefix space and no normaliser")
+
+
 class BatchTokenizer:
     """Ids as `Tokenizer.encode(text, add_special_tokens=False)` gives them, for a byte-level BPE file.
 
@@ -42,13 +51,14 @@ class BatchTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = plain
-        added = [] if plain else [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.odd = "|".join([SPACES, *added])
+        self.added = [] if plain else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        _byte_level(path)
         self.model, self.split = self.whole.model, regex.compile(PRE_TOKENS).findall
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in printable]
         self.shown = {b: 256 + i for i, b in enumerate(rest)}  # byte-level vocabularies show other bytes as these code points
         self.parts: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, part: str) -> bytes:
         ids: list[int] = []
@@ -56,13 +66,14 @@ class BatchTokenizer:
             shown = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
             ids += [t.id for t in self.model.tokenize(shown)]
         out = self.parts[part] = array("I", ids).tobytes()
+        self.held += 200 + len(part) + len(out)
         return out
 
     def _gather(self, parts: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         get, learn = self.parts.get, self._learn
         coded = [learn(w) if (b := get(w)) is None else b for w in parts]
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
+        if self.held > CACHE_BYTES:
+            self.parts, self.held = {}, 0
         lens = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
         flat = np.frombuffer(b"".join(coded), "<u4")
         starts = np.cumsum(lens) - lens
@@ -84,7 +95,9 @@ class BatchTokenizer:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
+        odd = np.asarray(pc.match_substring_regex(texts, SPACES))
+        for content in self.added:
+            odd = odd | np.asarray(pc.match_substring(texts, content))
         if not odd.any():
             return self._safe(texts)
         at, safe_at = np.flatnonzero(odd), np.flatnonzero(~odd)

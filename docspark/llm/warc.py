@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import filesystem, materialize, shared_path
 
-#: Pages a task writes to one archive file, at the least one file a partition.
-PAGES_PER_FILE = 20_000
 #: Neighbouring records this near are fetched in one read, up to RANGE_BYTES at once.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
+#: Most partitions of a read; beyond, a task fetches several ranges one after the other.
+MOST_PARTS = 100_000
 #: Payloads from this size on are kept once; later ones refer to it.
 MIN_REVISIT_BYTES = 0
 
@@ -143,6 +143,12 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
+def dealt(ranges: DataFrame, index: DataFrame, most: int = RANGE_BYTES) -> DataFrame:
+    """The ranges over as many partitions as their records fill reads of `most` bytes; left without a number, such small rows would all be merged into one task."""
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return ranges.repartition(min(MOST_PARTS, max(1, -(-int(size) // most))), "file", "start")
+
+
 def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
     """The records inside byte ranges. A response's payload is checked against its digest; a revisit has none of its own."""
 
@@ -182,14 +188,15 @@ def archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages, read all records back through the index; one row a record, as the archives have it."""
-    spread = byte_ranges(archive(pages)).repartition("file", "start")
-    return read_records(spread, payloads=False).drop("payload", "url")
+    index = archive(pages)
+    return read_records(dealt(byte_ranges(index), index), payloads=False).drop("payload", "url")
 
 
 def lookup(index: DataFrame, selected: DataFrame) -> DataFrame:
     """Records of the selected URLs or digests (a frame with column url or digest): index join, then coalesced reads."""
     key = "url" if "url" in selected.columns else "digest"
-    return read_records(byte_ranges(index.join(selected.select(key).distinct(), key, "left_semi")).repartition("file", "start"))
+    chosen = index.join(selected.select(key).distinct(), key, "left_semi")
+    return read_records(dealt(byte_ranges(chosen), chosen))
 
 
 ORACLE = """

@@ -111,27 +111,27 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, ho
     return warm.unionByName(cold.select(*warm.columns))
 
 
-def in_blocks(df: DataFrame, keys: list[str], salt: Column, size: int, weight: Column | None = None, most: int = 0) -> DataFrame:
+def in_blocks(df: DataFrame, keys: list[str], salt: Column, size: int, weight: Column | None = None, most: int = 0, deal: bool = True) -> DataFrame:
     """Deal the rows of each key group to blocks so that all pairs of rows meet and no task holds a whole large group.
 
     A group of n rows gets m = ceil(n / size) sub-blocks, or as many as its weight has times `most`; a row of sub-block s
     goes to the m block pairs (min(s, t), max(s, t)). Adds `bi`, `bj` (the pair) and `sub` (the row's own sub-block); groups
     of one row are left out. Every pair of rows meets exactly once if rows with sub = bi are paired with rows with sub = bj.
-    The blocks are dealt by key and pair, not by key alone.
+    The blocks are dealt by key and pair, not by key alone; without `deal` that is left to the caller.
     """
     m = F.ceil(F.count(F.lit(1)) / F.lit(size))
     if weight is not None:
         m = F.greatest(m, F.ceil(F.sum(weight) / F.lit(most)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), m.cast("int").alias("_m")).where("_n > 1")
-    return (
+    rows = (
         join_by_key(df, sizes, keys, "_n")
         .withColumn("sub", F.pmod(salt, "_m").cast("int"))
         .withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
         .withColumn("bi", F.least("sub", "_t"))
         .withColumn("bj", F.greatest("sub", "_t"))
         .drop("_t", "_n", "_m")
-        .repartition(*keys, "bi", "bj")
     )
+    return rows.repartition(*keys, "bi", "bj") if deal else rows
 
 
 #: Most range buckets whose edges are kept as literals; beyond, buckets grow and their sorts spill.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import in_blocks, materialize, text_slices
+from docspark.llm.common import in_blocks, join_by_key, materialize, text_slices
 from docspark.llm.graphs import components
 from docspark.llm.shingles import mix64, shingle_sets
 
@@ -31,8 +31,8 @@ BITS = 4
 PERCENT = 75
 #: Estimates under the threshold by more than this many standard deviations are not checked on full sets.
 DEVIATIONS = 5.0
-#: Members of a bucket that one task compares at once, and ids up to which a semi-join side is broadcast (16 bytes each).
-BLOCK, BROADCAST_IDS = 2048, 1_000_000
+#: Members of a bucket that one task compares at once, and the bytes of their full sets; ids up to which a semi-join side is broadcast (16 bytes each).
+BLOCK, BLOCK_BYTES, BROADCAST_IDS = 2048, 16 << 20, 1_000_000
 #: Rounds in which each member outside its bucket's main component names its BEST likeliest partners, before all pairs of what is left.
 ROUNDS, BEST = 2, 3
 
@@ -176,14 +176,26 @@ def _likeliest(rows: DataFrame, least: float, best: int) -> DataFrame:
     return blocks.groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
 
 
+def _full_sets(texts: DataFrame) -> DataFrame:
+    """doc_id, set (sorted 64-bit shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in text_slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(b.column(1).slice(i, j - i))], pa.binary())], names=["doc_id", "set"])
+
+    return texts.mapInArrow(run, "doc_id long, set binary")
+
+
 def _all_links(rows: DataFrame, docs: DataFrame, least: float, percent: int) -> DataFrame:
-    """Confirmed links that join different labels in one bucket; rows: bucket, doc_id, label, sig, bands.
+    """Confirmed links that join different labels in one bucket; rows: bucket, doc_id, label, sig, bands, n_shingles.
 
-    Whole texts come to the block, and every pair of different components that the estimate lets through is counted there on
-    full sets, in the first bucket where the two meet. Only links that join components leave a block, fewer than its members.
+    Full sets, made once a document, come to the block, and every pair of different components that the estimate lets through
+    is counted there, in the first bucket where the two meet. Only links that join components leave a block, fewer than its
+    members.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    full = rows.join(_among(texts, rows.select("doc_id").distinct()), "doc_id")
+    sets_of = materialize(_full_sets(_among(texts, rows.select("doc_id").distinct())), "minhash-sets")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         n = len(frame)
@@ -191,7 +203,7 @@ def _all_links(rows: DataFrame, docs: DataFrame, least: float, percent: int) ->
         bi, bj = frame["bi"].iat[0], frame["bj"].iat[0]
         sigs, bands = planes(list(frame["sig"])), np.stack(frame["bands"].to_list())
         band = int(np.flatnonzero(bands[0] == frame["bucket"].iat[0])[0])
-        sets = shingle_sets(pa.array(frame["text"]))
+        sets = [np.frombuffer(x, "<u8") for x in frame["set"]]
         sizes = np.fromiter(map(len, sets), np.int64, n)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         known, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -217,7 +229,7 @@ def _all_links(rows: DataFrame, docs: DataFrame, least: float, percent: int) ->
             has[flat[bounds[i] : bounds[i + 1]]] = False
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    blocks = in_blocks(full, ["bucket"], F.xxhash64("doc_id"), BLOCK)
+    blocks = in_blocks(rows, ["bucket"], F.xxhash64("doc_id"), BLOCK, F.col("n_shingles") * 8, BLOCK_BYTES, deal=False).drop("n_shingles").join(sets_of, "doc_id")
     return blocks.groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -238,11 +250,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = materialize(sketch(docs), "minhash-sketch")
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    chosen = materialize(real.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "bands", "sig"), "minhash-chosen")
+    chosen = materialize(real.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "bands", "sig", "n_shingles"), "minhash-chosen")
     members = chosen.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub < far").drop("far")
+    hubs = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far"), F.count(F.lit(1)).alias("n")).where("hub < far").drop("far")
     sigs = chosen.select("doc_id", "sig")
-    placed = materialize(members.join(hubs, "bucket"), "minhash-buckets")
+    placed = materialize(join_by_key(members, hubs, ["bucket"], "n").drop("n"), "minhash-buckets")
     stars = placed.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = materialize(_estimated(stars, sigs, least), "minhash-stars")
     linked = materialize(confirmed(stars, docs, percent), "minhash-links")
@@ -251,14 +263,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = materialize(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(repeated)), "minhash-labels")
     tested, best = stars, BEST
     for step in range(ROUNDS + 1):
-        labelled = placed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket")
-        apart = labelled.join(several, "bucket").join(chosen, "doc_id").select("bucket", "doc_id", "label", "sig", "bands")
+        labelled = materialize(placed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "minhash-labelled")
+        several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket", "n")
+        apart = materialize(join_by_key(labelled, several, ["bucket"], "n").drop("n").join(chosen, "doc_id").select("bucket", "doc_id", "label", "sig", *(["bands", "n_shingles"] if best is None else [])), "minhash-apart")
         last = best is None
         if last:
             found = _all_links(apart, docs, least, percent)
         else:
-            pairs = materialize(_likeliest(apart.drop("bands"), least, best).join(tested, ["a", "b"], "left_anti"), "minhash-across")
+            pairs = materialize(_likeliest(apart, least, best).join(tested, ["a", "b"], "left_anti"), "minhash-across")
             tested = tested.unionByName(pairs)
             found = confirmed(pairs, docs, percent)
         bridges = materialize(_bridges(found, labels), "minhash-bridges")

@@ -5,21 +5,22 @@ filter. Probing levels upward until one is missing gives the count's level back;
 quantised counts of one and two words; a two-word probability is interpolated with the one-word one by the share of two-word
 occurrences seen once (the Good-Turing mass of unseen ones). Filter segments are built on the cluster, one a hash range.
 
-The filter has BITS_EACH bits a member at every size. While it is small, the segments go, one behind the other, to a file in
-the shared folder: the driver streams them through and never holds them, and the workers of a node map one copy of it. Exact
-one-word counts, which the base score needs, are looked up in such a file when they are few, and by an equi-join on the word
-beyond. A larger filter is never in one place: the n-grams of a chunk of texts go to their segments, which answer with levels
+The filter has BITS_EACH bits a member at every size. While it is small, tasks write the segments to a few files in the shared
+folder, of which the driver gets the index alone, and the workers of a node map one copy of each. Exact one-word counts, which
+the base score needs, are looked up in such files when they are few, and by an equi-join on the word beyond. A larger filter is never in one place: the n-grams of a chunk of texts go to their segments, which answer with levels
 and exact counts, and the answers go back to the chunk.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,13 @@ from docspark.llm.shingles import mix64, word_hashes
 BASE = 1.5
 MOST_LEVEL = 80
 PROBES = 5
-#: Bits for each member, and the bits up to which all segments are mapped as one file (256 MB); beyond, n-grams go to their segments.
+#: Bits for each member, and the bits up to which all segments are mapped (256 MB); beyond, n-grams go to their segments.
 BITS_EACH, MAPPED_BITS = 10, 1 << 31
+#: Bytes that one mapped file holds, about.
+FILE_BYTES = 16 << 20
 #: Distinct n-grams of one segment; a segment is built in one task.
 SEGMENT_GRAMS = 1 << 19
-#: Exact counts are looked up in a file up to so many distinct words (12 bytes each).
+#: Exact counts are looked up in a file up to so many distinct words (16 bytes each).
 BROADCAST_WORDS = 20_000_000
 #: Bytes of text scored at once.
 SCORE_BYTES = 1 << 20
@@ -84,11 +87,12 @@ def _gathered(docs: DataFrame, segments: int) -> DataFrame:
                 if not held[kind]:
                     continue
                 grams, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
-                own = (grams % np.uint64(segments)).astype(np.int64)
-                order = np.argsort(own, kind="stable")
-                cuts = np.searchsorted(own[order], np.arange(segments + 1))
-                rows = [(s, grams[order[a:b]].tobytes(), counts[order[a:b]].astype("<u4").tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                order, to, cuts = _dealt(grams, segments)
+                grams, counts = grams[order], counts[order].astype("<u8")
+                rows = [(s, grams[a:b].tobytes(), counts[a:b].tobytes()) for s, a, b in zip(to.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 held[kind] = []
+                if not rows:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([kind + 1] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True))], names=["kind", "segment", "grams", "counts"])
 
         for b in batches:
@@ -106,7 +110,7 @@ def _gathered(docs: DataFrame, segments: int) -> DataFrame:
 
 
 def _merge(grams: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    g, c = np.frombuffer(b"".join(grams), "<u8"), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    g, c = np.frombuffer(b"".join(grams), "<u8"), np.frombuffer(b"".join(counts), "<u8").astype(np.int64)
     order = np.argsort(g, kind="stable")
     g = g[order]
     starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
@@ -121,7 +125,7 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         g, c = _merge(list(frame["grams"]), list(frame["counts"]))
-        return pd.DataFrame({"kind": frame["kind"].iloc[:1], "segment": frame["segment"].iloc[:1], "grams": [g.tobytes()], "counts": [c.astype("<u4").tobytes()], "distinct": [len(g)], "tokens": [int(c.sum())], "once": [int((c == 1).sum())], "members": [int(levels(c).sum())]})
+        return pd.DataFrame({"kind": frame["kind"].iloc[:1], "segment": frame["segment"].iloc[:1], "grams": [g.tobytes()], "counts": [c.astype("<u8").tobytes()], "distinct": [len(g)], "tokens": [int(c.sum())], "once": [int((c == 1).sum())], "members": [int(levels(c).sum())]})
 
     return _gathered(docs, segments).groupBy("kind", "segment").applyInPandas(run, SEGMENT)
 
@@ -162,12 +166,31 @@ def _levels_of(keys: np.ndarray, bits: np.ndarray, size: np.ndarray, first: np.n
     return out
 
 
+def write_files(rows: DataFrame, parts: int) -> list:
+    """Write the data of rows (kind, segment, data) to `parts` files, one task each; kind, segment, file, first, size (bytes) of each."""
+    folder = shared_path(rows.sparkSession, "lm-files")
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+        name, at, firsts = uuid.uuid4().hex, 0, []
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+            for data in frame["data"]:
+                firsts.append(at)
+                out.write(data)
+                at += len(data)
+            out.write(b"\0" * 8)  # an empty file can't be mapped
+        return pd.DataFrame({"kind": frame["kind"], "segment": frame["segment"], "file": f"{folder}/{name}", "first": firsts, "size": frame["data"].map(len)})
+
+    return rows.groupBy(F.pmod("segment", F.lit(parts)).alias("part")).applyInPandas(write, "kind int, segment int, file string, first long, size long").collect()
+
+
 @dataclass
 class LogFrequencyFilter:
     segments: int
     sizes: np.ndarray  # bits, (kind, segment)
-    firsts: np.ndarray  # first byte
-    bits: np.ndarray | str | None  # or the file that holds them; None: built and probed segment by segment
+    firsts: np.ndarray  # first byte in its file
+    bits: list | None  # arrays, or the files that hold them, segment s in number s % len; None: built and probed segment by segment
     train_tokens: int
     distinct: int
     unseen: float  # mass of unseen two-word continuations
@@ -177,9 +200,13 @@ class LogFrequencyFilter:
         """Levels of n-grams by probing 1, 2, ... until one is missing."""
         if self.bits is None:
             raise ValueError("this filter is not mapped: its segments are probed where they are built")
-        bits = shared_array(self.bits, "u1") if isinstance(self.bits, str) else self.bits
         own = (keys % np.uint64(self.segments)).astype(np.int64)
-        return _levels_of(keys, bits, self.sizes[kind - 1][own], self.firsts[kind - 1][own])
+        out = np.zeros(len(keys), np.int64)
+        for p, bits in enumerate(self.bits):
+            at = np.flatnonzero(own % len(self.bits) == p) if len(self.bits) > 1 else slice(None)
+            mapped = shared_array(bits, "u1") if isinstance(bits, str) else bits
+            out[at] = _levels_of(keys[at], mapped, self.sizes[kind - 1][own[at]], self.firsts[kind - 1][own[at]])
+        return out
 
     def log_probabilities(self, tok: np.ndarray, n: np.ndarray, level: Callable[[np.ndarray, int], np.ndarray] | None = None) -> np.ndarray:
         """log10 of every token's interpolated probability given the one before it; `level` stands in for the mapped filter."""
@@ -214,19 +241,18 @@ def fit(counts: DataFrame, segments: int, texts: int) -> LogFrequencyFilter:
         for b in batches:
             for r in b.to_pylist():
                 size = _segment_size(r["members"])
-                bits = segment_bits(np.frombuffer(r["grams"], "<u8"), np.frombuffer(r["counts"], "<u4"), size)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([r["kind"]], pa.int32()), "segment": pa.array([r["segment"]], pa.int32()), "size": [size], "bits": pa.array([bits], pa.binary())})
-
-    built = materialize(counts.select("kind", "segment", "grams", "counts", "members").mapInArrow(build, "kind int, segment int, size long, bits binary"), "lm-segments")
-    path, at = shared_path(counts.sparkSession, "lm-bits"), 0
-    fs, plain = filesystem(path)
-    with fs.open_output_stream(plain, compression=None) as out:
-        for r in built.toLocalIterator():
-            sizes[r["kind"] - 1, r["segment"]], firsts[r["kind"] - 1, r["segment"]] = r["size"], at
-            out.write(bytes(r["bits"]))
-            at += len(r["bits"])
-        out.write(b"\0")
-    lm.bits = path
+                bits = segment_bits(np.frombuffer(r["grams"], "<u8"), np.frombuffer(r["counts"], "<u8"), size)
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([r["kind"]], pa.int32()), "segment": pa.array([r["segment"]], pa.int32()), "data": pa.array([bits], pa.binary())})
+
+    built = counts.select("kind", "segment", "grams", "counts", "members").mapInArrow(build, "kind int, segment int, data binary")
+    parts = max(1, -(-members * BITS_EACH // (8 * FILE_BYTES)))
+    lm.bits = [""] * parts
+    for r in write_files(built, parts):
+        firsts[r["kind"] - 1, r["segment"]] = r["first"]
+        lm.bits[r["segment"] % parts] = r["file"]
+    for r in counts.select("kind", "segment", "members").collect():
+        sizes[r["kind"] - 1, r["segment"]] = _segment_size(r["members"])
+    lm.bits = [b or np.zeros(8, np.uint8) for b in lm.bits]
     return lm
 
 
@@ -236,11 +262,12 @@ def _runs(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[
     return sorted_keys[np.concatenate(([0], cuts))].tolist() if len(sorted_keys) else [], np.split(values, cuts) if len(values) else []
 
 
-def _dealt(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted keys by segment, and the bounds of the segments in it."""
+def _dealt(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted keys by segment, the segments that have any, and their bounds in it."""
     own = (keys % np.uint64(segments)).astype(np.int64)
     order = np.argsort(own, kind="stable")
-    return order, np.searchsorted(own[order], np.arange(segments + 1))
+    to, first = np.unique(own[order], return_index=True)
+    return order, to, np.append(first, len(keys))
 
 
 def _asked(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,22 +300,21 @@ def _scores_by_segment(rows: DataFrame, counts: DataFrame, lm: LogFrequencyFilte
         for b in batches:
             for chunk, texts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for kind, keys in enumerate(_asked(*tokens(texts.values)), 1):
-                    order, cuts = _dealt(keys, segments)
-                    to = np.flatnonzero(np.diff(cuts))
-                    asked = [keys[order[cuts[s] : cuts[s + 1]]].tobytes() for s in to.tolist()]
+                    order, to, cuts = _dealt(keys, segments)
+                    asked = [keys[order[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), chunk)), pa.array(np.full(len(to), kind, np.int32)), pa.array(to.astype(np.int32)), pa.array(asked, pa.binary())], names=["chunk", "kind", "segment", "keys"])
 
     def answer(asked: pd.DataFrame, learnt: pd.DataFrame) -> pd.DataFrame:
         keys = np.frombuffer(b"".join(asked["keys"]), "<u8")
-        level, number = np.zeros(len(keys), np.uint8), np.zeros(len(keys), "<u4")
+        level, number = np.zeros(len(keys), np.uint8), np.zeros(len(keys), "<u8")
         if len(learnt) and len(keys):
-            grams, c = np.frombuffer(learnt["grams"].iat[0], "<u8"), np.frombuffer(learnt["counts"].iat[0], "<u4")
+            grams, c = np.frombuffer(learnt["grams"].iat[0], "<u8"), np.frombuffer(learnt["counts"].iat[0], "<u8")
             size = _segment_size(int(learnt["members"].iat[0]))
             bits = np.frombuffer(segment_bits(grams, c, size), np.uint8)
             level = _levels_of(keys, bits, np.full(len(keys), size), np.zeros(len(keys), np.int64)).astype(np.uint8)
             if learnt["kind"].iat[0] == 1:
                 where = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-                number = np.where(grams[where] == keys, c[where], 0).astype("<u4")
+                number = np.where(grams[where] == keys, c[where], 0).astype("<u8")
         lens = asked["keys"].map(len).to_numpy(np.int64) >> 3
         ends = np.cumsum(lens)
         spans = list(zip((ends - lens).tolist(), ends.tolist(), strict=True))
@@ -301,14 +327,14 @@ def _scores_by_segment(rows: DataFrame, counts: DataFrame, lm: LogFrequencyFilte
         keys, found, number = _asked(tok, n), [], np.zeros(0)
         answers = answers.sort_by("segment")
         for kind in (1, 2):
-            own = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+            own = answers.filter(pc.equal(answers.column("kind"), kind))
             order = _dealt(keys[kind - 1], segments)[0]
             out = np.zeros(len(order), np.int64)
             out[order] = np.frombuffer(b"".join(own.column("levels").to_pylist()), np.uint8)
             found.append(out)
             if kind == 1:
                 number = np.zeros(len(order))
-                number[order] = np.frombuffer(b"".join(own.column("counts").to_pylist()), "<u4")
+                number[order] = np.frombuffer(b"".join(own.column("counts").to_pylist()), "<u8")
         c, starts = number[np.searchsorted(keys[0], tok)], np.cumsum(n) - n
         model = lm.log_probabilities(tok, n, lambda _, kind: found[kind - 1])
         return pa.table([ids, held, pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(n), lm.train_tokens)), pa.array(np.add.reduceat(np.log10((c + 0.5) / room), starts)), pa.array(np.add.reduceat(model, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -342,21 +368,11 @@ def scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame
     if lm.bits is None:
         return _scores_by_segment(rows, counts, lm)
     if lm.distinct <= broadcast_words:
-        grams_at, counts_at = shared_path(spark, "lm-words"), shared_path(spark, "lm-word-counts")
-        (fs, one), (_, two) = filesystem(grams_at), filesystem(counts_at)
-        first = np.zeros((2, segments), np.int64)
-        done = 0
-        with fs.open_output_stream(one, compression=None) as out, fs.open_output_stream(two, compression=None) as out2:
-            for r in words.toLocalIterator():
-                out.write(bytes(r["grams"]))
-                out2.write(bytes(r["counts"]))
-                first[:, r["segment"]] = done, done + len(r["counts"]) // 4
-                done += len(r["counts"]) // 4
-            out.write(b"\0" * 8)
-            out2.write(b"\0" * 4)
+        # a segment's words and, behind them, their counts
+        index = {r["segment"]: (r["file"], r["first"] // 8, r["size"] // 16) for r in write_files(words.select(F.lit(1).alias("kind"), "segment", F.concat("grams", "counts").alias("data")), max(1, -(-16 * lm.distinct // FILE_BYTES)))}
+        placed = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams, number = shared_array(grams_at, "<u8"), shared_array(counts_at, "<u4")
             for b in batches:
                 for i, j in text_slices(b.column(2), SCORE_BYTES):
                     part = b.slice(i, j - i)
@@ -366,9 +382,11 @@ def scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame
                     order = np.argsort(own, kind="stable")
                     c = np.zeros(len(distinct))
                     for seg, some in zip(*_runs(own[order], order), strict=True):
-                        lo, hi = first[:, seg]
-                        if hi > lo:
-                            where = lo + np.minimum(np.searchsorted(grams[lo:hi], distinct[some]), hi - lo - 1)
+                        file, lo, k = placed.value.get(seg, ("", 0, 0))
+                        if k:
+                            data = shared_array(file, "<u8")
+                            grams, number = data[lo : lo + k], data[lo + k : lo + 2 * k]
+                            where = np.minimum(np.searchsorted(grams, distinct[some]), k - 1)
                             c[some] = np.where(grams[where] == distinct[some], number[where], 0)
                     base, starts = np.log10((c + 0.5) / room), np.cumsum(n) - n
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), starts)), pa.array(np.full(len(n), n_train)), pa.array(np.add.reduceat(base[at], starts)), pa.array(np.add.reduceat(model.value.log_probabilities(tok, n), starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -392,7 +410,7 @@ def scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["grams"], "<i8")), pa.array(np.frombuffer(r["counts"], "<u4").astype(np.int64))], names=["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["grams"], "<i8")), pa.array(np.frombuffer(r["counts"], "<i8"))], names=["word", "c"])
 
     def model_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -65,9 +65,12 @@ def shared_array(uri: str, kind: str) -> np.ndarray:
     copy; else read once a worker."""
     fs, path = filesystem(uri)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r")
-    with fs.open_input_stream(path, compression=None) as f:
-        return np.frombuffer(f.read(), kind)
+        whole = np.memmap(path, dtype="u1", mode="r")
+    else:
+        with fs.open_input_stream(path, compression=None) as f:
+            whole = np.frombuffer(f.read(), "u1")
+    size = np.dtype(kind).itemsize
+    return whole[: len(whole) // size * size].view(kind)
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -444,7 +444,7 @@ def test_filter_levels_never_fall_short():
     counts = rng.zipf(1.5, len(grams)).clip(1, 10**6)
     size = int(bloomlm.levels(counts).sum() * bloomlm.BITS_EACH)
     bits = np.frombuffer(bloomlm.segment_bits(grams, counts, size) + b"\0", np.uint8)
-    lm = bloomlm.LogFrequencyFilter(1, np.array([[0], [size]]), np.zeros((2, 1), np.int64), bits, 1, 1, 0.5, 1)
+    lm = bloomlm.LogFrequencyFilter(1, np.array([[0], [size]]), np.zeros((2, 1), np.int64), [bits], 1, 1, 0.5, 1)
     got = lm.level(grams, 2)
     assert (got >= bloomlm.levels(counts)).all() and (got == bloomlm.levels(counts)).mean() > 0.97
     assert (lm.level(rng.integers(0, 1 << 63, 4000, dtype=np.uint64), 2) > 0).mean() < 0.03

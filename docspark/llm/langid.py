@@ -1,31 +1,38 @@
 """Language identification with language-bitmask n-gram filters.
 
-The filter is a bit-sliced Bloom filter: a table of slots, each a mask with one bit a language. An n-gram sets its language's
-bit in `hashes` slots; the AND of an n-gram's slots gives all languages that contain it at once. A text's popcounts by
-language, corrected for each language's false-positive rate, decide.
+The filter is a bit-sliced Bloom filter: a table of slots, each a mask with one bit a language (several words of 64 bits beyond
+64 languages). An n-gram sets its language's bit in HASHES slots; the AND of an n-gram's slots gives all languages that hold
+it at once. A text's popcounts by language, corrected for each language's false-positive rate, decide.
+
+The slots are sized from the n-grams counted, without a cap, and the masks are made on the cluster; their files in the shared
+folder are mapped by the workers, so neither the driver nor a broadcast carries them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialize, text_slices
+from docspark.llm.common import filesystem, materialize, shared_array, shared_path, text_slices
 
 #: Code points of an n-gram.
 GRAM = 3
-#: Languages a filter can hold (bits of a mask), and the documented bound on the n-grams kept for each, so the filter is at most 32 MB.
-MAX_LANGUAGES = 64
-MAX_GRAMS = 200_000
-#: An n-gram belongs to a language whose share of it is at least this part of the largest share.
+#: An n-gram belongs to a language whose share of it is at least this part of the largest share: others have it as a loan word or noise.
 KEEP_SHARE = 0.25
-SLOTS = 1 << 22
+#: Slots for each n-gram of the language with the most, the fewest slots, and the slots of one file (each has a mask).
+SLOTS_EACH, FEWEST_SLOTS, FILE_SLOTS = 16, 1 << 16, 1 << 20
 HASHES = 3
+#: Bits of a mask word.
+WORD_BITS = 64
+#: Bytes of text handled at once, and code points of one piece of a longer text.
+SLICE_BYTES, PIECE = 512 << 10, 1 << 18
 #: Documents below this score are rejected by the filtering stage.
 MIN_SCORE = 0.2
 
@@ -34,7 +41,7 @@ _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27
 
 def _letters() -> np.ndarray:
     """Lower-case form of every code point of the basic plane that is a letter, else 0."""
-    out = np.zeros(1 << 16, dtype=np.int64)
+    out = np.zeros(1 << 16, dtype=np.int32)
     for c in range(1 << 16):
         ch = chr(c)
         if ch.isalpha():
@@ -46,26 +53,51 @@ def _letters() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of the letters of all texts, words set apart by a 0, and the row each n-gram is of.
+def _pieces(texts: pa.Array) -> Iterator[list[tuple[int, str, bool, bool]]]:
+    """row, text, and whether its first and last code points are only neighbours of the piece; about PIECE code points at a time."""
+    held: list[tuple[int, str, bool, bool]] = []
+    size = 0
+    for row, text in enumerate(texts.to_pylist()):
+        text = text or ""
+        for s in range(0, max(1, len(text)), PIECE):
+            e = min(len(text), s + PIECE)
+            held.append((row, text[max(0, s - 1) : e + 1], s > 0, e < len(text)))
+            size += e - s + 1
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed n-grams of the letters of all texts, words set apart by a 0, and the row each n-gram is of; piece by piece.
 
     Letters beyond the basic plane count as themselves; everything else parts words. A word of one letter gives one n-gram.
+    A text longer than a piece is cut, each part with its neighbours, so every n-gram comes once.
     """
     if not _table:
         _table.append(_letters())
     low = _table[0]
-    rows = texts.to_pylist()
-    code = np.frombuffer(" ".join(["", *[r or "" for r in rows], ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    lens = np.fromiter((len(r or "") for r in rows), np.int64, len(rows)) + 1
-    row = np.concatenate((np.repeat(np.arange(len(rows)), lens), [max(len(rows) - 1, 0)]))[: len(code)]
-    high = code >= 1 << 16
-    x = low[np.where(high, 0, code)]
-    if high.any():
-        far = np.flatnonzero(high)
-        x[far] = [c if chr(c).isalpha() else 0 for c in code[far].tolist()]
-    a, b, c = x[:-2], x[1:-1], x[2:]
-    keep = b != 0
-    return ((a << 42) | (b << 21) | c)[keep], row[1:-1][keep]
+    for part in _pieces(texts):
+        code = np.frombuffer(" ".join(["", *[t for _, t, _, _ in part], ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        lens = np.fromiter((len(t) for _, t, _, _ in part), np.int64, len(part)) + 1
+        row = np.append(np.repeat(np.fromiter((r for r, *_ in part), np.int32, len(part)), lens), np.int32(0))[: len(code)]
+        if (code >> 16).any():
+            x = low[np.where(code >= 1 << 16, 0, code)]
+            far = np.flatnonzero(code >= 1 << 16)
+            x[far] = [c if chr(c).isalpha() else 0 for c in code[far].tolist()]
+        else:
+            x = low[code]
+        keep = x[1:-1] != 0
+        ends = np.cumsum(lens)  # where each text's last code point stands
+        for k, (_, _, lead, tail) in enumerate(part):
+            if lead:
+                keep[ends[k] - lens[k]] = False
+            if tail:
+                keep[ends[k] - 2] = False
+        at = np.flatnonzero(keep)
+        yield (x[at].astype(np.int64) << 42) | (x[at + 1].astype(np.int64) << 21) | x[at + 2], row[at + 1]
 
 
 def _slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
@@ -82,23 +114,44 @@ def _slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    masks: np.ndarray
+    slots: int
+    per_file: int
+    files: dict[int, str | np.ndarray]  # masks of per_file slots each, as words (slot, word), or the file that holds them; absent: no bits
     false_rates: np.ndarray
 
+    def masks(self, slot: np.ndarray) -> np.ndarray:
+        """The masks of some slots, one row each."""
+        words = -(-len(self.languages) // WORD_BITS)
+        out = np.zeros((len(slot), words), np.uint64)
+        for number, file in self.files.items():
+            at = np.flatnonzero(slot // self.per_file == number) if self.slots > self.per_file else slice(None)
+            held = (shared_array(file, "<u8") if isinstance(file, str) else file).reshape(-1, words)
+            out[at] = held[slot[at] % self.per_file]
+        return out
+
+    def languages_of(self, keys: np.ndarray) -> np.ndarray:
+        """The masks of all languages that contain each n-gram."""
+        mask = None
+        for slot in _slots(keys, self.slots):
+            mask = self.masks(slot) if mask is None else mask & self.masks(slot)
+        return mask
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         n = len(texts)
-        keys, row = grams(texts)
         if not self.languages:
             return ["und"] * n, np.zeros(n)
-        total = np.bincount(row, minlength=n)[:n]
-        mask = None
-        for slot in _slots(keys, len(self.masks)):
-            mask = self.masks[slot] if mask is None else mask & self.masks[slot]
-        hits = np.empty((len(self.languages), n))
-        for bit in range(len(self.languages)):
-            got = np.bincount(row, weights=(mask >> mask.dtype.type(bit)) & mask.dtype.type(1), minlength=n)[:n]
-            f = self.false_rates[bit]
-            hits[bit] = np.clip((got - f * total) / max(1e-9, 1 - f), 0, None)
+        total, hits = np.zeros(n), np.zeros((len(self.languages), n))
+        for keys, row in grams(texts):
+            total += np.bincount(row, minlength=n)
+            # equal n-grams of the piece are looked up once
+            distinct, at = np.unique(keys, return_inverse=True)
+            mask = self.languages_of(distinct)
+            for k in range(len(self.languages)):
+                has = (mask[:, k // WORD_BITS] >> np.uint64(k % WORD_BITS)) & np.uint64(1)
+                if has.any():
+                    hits[k] += np.bincount(row, weights=has.astype(np.float64)[at], minlength=n)
+        f = self.false_rates[:, None]
+        hits = np.clip((hits - f * total) / np.maximum(1e-9, 1 - f), 0, None)
         best = hits.argmax(axis=0)
         top = hits[best, np.arange(n)]
         second = np.partition(hits, -2, axis=0)[-2] if len(hits) > 1 else np.zeros(n)
@@ -113,41 +166,62 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for b in batches:
             langs = b.column(0).dictionary_encode()
             code = np.asarray(langs.indices, dtype=np.int64)
-            for i, j in text_slices(b.column(1)):
-                keys, row = grams(b.column(1).slice(i, j - i))
-                lang = code[i:j][row]
-                for l in np.unique(lang).tolist():
-                    k, n = np.unique(keys[lang == l], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([langs.dictionary[l].as_py()] * len(k), pa.string()), pa.array(k), pa.array(n)], ["lang", "gram", "n"])
+            for i, j in text_slices(b.column(1), SLICE_BYTES):
+                for keys, row in grams(b.column(1).slice(i, j - i)):
+                    lang = code[i:j][row]
+                    for l in np.unique(lang).tolist():
+                        k, n = np.unique(keys[lang == l], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([langs.dictionary[l].as_py()] * len(k), pa.string()), pa.array(k), pa.array(n)], ["lang", "gram", "n"])
 
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def kept_grams(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """lang, gram of the n-grams that a language has by KEEP_SHARE."""
+    shares = counts.join(totals.select("lang", "all"), "lang").withColumn("share", F.col("n") / F.col("all"))
+    top = shares.groupBy("gram").agg(F.max("share").alias("most"))
+    return shares.join(top, "gram").where(F.col("share") >= KEEP_SHARE * F.col("most")).select("lang", "gram")
+
+
 def fit(spark: SparkSession, labelled: DataFrame) -> LanguageFilter:
-    """Learn from all labelled rows. Counting is distributed; the driver gets at most MAX_GRAMS n-grams a language, MAX_LANGUAGES languages."""
+    """Learn from all labelled rows. The driver gets one row a language and one a file of masks, never n-grams."""
     counts = materialize(count_grams(labelled), "langid-grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
-        return LanguageFilter([], np.zeros(SLOTS, np.uint64), np.zeros(0))
-    languages = [r["lang"] for r in totals]
-    shares = counts.join(F.broadcast(spark.createDataFrame([(r["lang"], r["all"]) for r in totals], "lang string, all long")), "lang").withColumn("share", F.col("n") / F.col("all"))
-    top = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    kept = shares.join(top, "gram").where(F.col("share") >= KEEP_SHARE * F.col("most"))
-    kind = np.dtype(f"u{next(w for w in (1, 2, 4, 8) if len(languages) <= 8 * w)}")
-    masks = np.zeros(SLOTS, dtype=kind)
-    false_rates = []
-    for bit, lang in enumerate(languages):
-        # the frequent n-grams carry the decision; the bound holds for any corpus size
-        rows = kept.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).select("gram").toPandas()["gram"].to_numpy()
-        one = np.zeros(SLOTS, dtype=bool)
-        for slot in _slots(rows, SLOTS):
-            one[slot] = True
-        masks |= one.astype(kind) << kind.type(bit)
-        false_rates.append(float(one.mean()) ** HASHES)
-    return LanguageFilter(languages, masks, np.array(false_rates))
+    totals = materialize(counts.groupBy("lang").agg(F.sum("n").alias("all")), "langid-totals")
+    languages = sorted(r["lang"] for r in totals.select("lang").collect())
+    if not languages:
+        return LanguageFilter([], FEWEST_SLOTS, FILE_SLOTS, {}, np.zeros(0))
+    kept = materialize(kept_grams(counts, totals), "langid-kept")
+    most = kept.groupBy("lang").count().agg(F.max("count")).first()[0]
+    slots = max(FEWEST_SLOTS, 1 << (SLOTS_EACH * int(most) - 1).bit_length())
+    bits = {lang: k for k, lang in enumerate(languages)}
+    words = -(-len(languages) // WORD_BITS)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = np.fromiter(map(bits.__getitem__, b.column(0).to_pylist()), np.int32, b.num_rows)
+            for slot in _slots(np.asarray(b.column(1)), slots):
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(bit)], names=["slot", "bit"])
+
+    folder, size = shared_path(spark, "langid-masks"), min(slots, FILE_SLOTS)
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((size, words), "<u8")
+        at, word = frame["slot"].to_numpy() % FILE_SLOTS, frame["word"].to_numpy()
+        out[at, word] = frame["mask"].to_numpy().view(np.uint64)
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+            f.write(out.tobytes())
+        return pd.DataFrame({"number": [int(frame["number"].iat[0])], "file": [f"{folder}/{name}"]})
+
+    placed = materialize(kept.mapInArrow(place, "slot long, bit int").distinct(), "langid-bits")
+    full = {r["bit"]: r["n"] for r in placed.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    one = F.expr(f"shiftleft(1L, bit % {WORD_BITS})")
+    masks = placed.groupBy("slot", F.expr(f"CAST(bit DIV {WORD_BITS} AS INT)").alias("word")).agg(F.bit_or(one).alias("mask"))
+    files = masks.withColumn("number", F.expr(f"slot DIV {FILE_SLOTS}")).groupBy("number").applyInPandas(write, "number long, file string").collect()
+    return LanguageFilter(languages, slots, FILE_SLOTS, {r["number"]: r["file"] for r in files}, np.array([(full.get(k, 0) / slots) ** HASHES for k in range(len(languages))]))
 
 
 def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -161,7 +235,7 @@ def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], names: tup
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            for i, j in text_slices(texts):
+            for i, j in text_slices(texts, SLICE_BYTES):
                 langs, score = shared.value.predict(texts.slice(i, j - i))
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])

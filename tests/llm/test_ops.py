@@ -559,3 +559,78 @@ def test_languages(spark, data, docs, nothing):
     assert kept.columns == docs.columns and not {4, 5, 6, 11} & {r.doc_id for r in kept.collect()}
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.language_report(unlabelled).collect()} == {"und"}
+
+
+def plain_language(texts_by_lang, text):
+    """The same decision with sets in place of filters."""
+    def of(t):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in t)
+        low = "".join(c if c.isalpha() else "\0" for c in low)
+        return [("\0" + low + "\0")[i : i + 3] for i in range(len(low)) if low[i] != "\0"]
+
+    counts = {lang: collections.Counter(g for t in ts for g in of(t)) for lang, ts in texts_by_lang.items()}
+    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    most = collections.defaultdict(float)
+    for s in share.values():
+        for g, x in s.items():
+            most[g] = max(most[g], x)
+    has = {lang: {g for g, x in s.items() if x >= langid.KEEP_SHARE * most[g]} for lang, s in share.items()}
+    mine = of(text)
+    if not mine:
+        return "und", 0.0
+    hits = sorted(((sum(g in h for g in mine), lang) for lang, h in has.items()), key=lambda x: (-x[0], x[1]))
+    return hits[0][1], 0.5 * hits[0][0] / len(mine) + 0.5 * (hits[0][0] - hits[1][0]) / max(hits[0][0], 1e-9)
+
+
+def test_languages_equal_sets(spark, data, monkeypatch):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.lang]
+    monkeypatch.setattr(langid, "PIECE", 700)
+    learnt = collections.defaultdict(list)
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            learnt[lang].append(t or "")
+    rows = rows[:60]
+    model = langid.fit(spark, spark.createDataFrame([(lang, t) for lang, ts in learnt.items() for t in ts], "lang string, text string"))
+    got, score = model.predict(pa.array([t for _, t, _ in rows]))
+    for (_, t, _), lang, x in zip(rows, got, score.tolist(), strict=True):
+        want, near = plain_language(learnt, t or "")
+        assert lang == want and abs(x - near) < 0.02
+
+
+def test_more_languages_than_a_word_has_bits(spark, monkeypatch):
+    rng = random.Random(2)
+    say = lambda k, n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) + chr(0x3B1 + k % 20) + chr(0x430 + k // 20) for _ in range(n))
+    rows = [(i, say(i % 70, 40), f"l{i % 70:02d}", "s") for i in range(280)]
+    want = {i: lang for i, _, lang, _ in rows}
+    monkeypatch.setattr(langid, "FILE_SLOTS", 1 << 14)
+    got = langid.language_report(documents(rows, spark)).collect()
+    assert sum(want[r.doc_id] == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+def test_long_texts_are_read_whole(spark):
+    text = "ab 日本😀x Cd-e " * 40_000
+    small = list(langid.grams(pa.array(["", text[:30], None, text])))
+    keys, row = (np.concatenate([p[k] for p in small]) for k in (0, 1))
+    once = np.concatenate([k for k, _ in langid.grams(pa.array([text[:15]]))])
+    assert len(small) > 1 and (row == 3).sum() == 40_000 * len(once) and set(keys[row == 3].tolist()) == set(once.tolist())
+
+
+FRESH = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.python.worker.reuse", "false").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from docspark.llm import langid
+docs = spark.read.parquet({data!r})
+print("rows", langid.language_report(docs.limit(50)).count(), langid.keep_identified(docs.limit(50)).count() > 0)
+"""
+
+
+def test_languages_in_fresh_workers(data):
+    import pathlib
+    import subprocess
+    import sys
+
+    code = FRESH.format(repo=str(pathlib.Path(__file__).parents[2]), data=f"{data}/documents.parquet")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "rows 50 True" in out.stdout, out.stderr[-2000:]

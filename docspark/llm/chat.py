@@ -6,15 +6,16 @@ arguments, checked against the tools' schemas, and written as canonical JSON (so
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from docspark.llm.common import materialize
+from docspark.llm.common import materialize, shared_path
 
-#: Tools whose schemas may be given; they become literals of the plan.
-MOST_TOOLS = 1000
-#: Longest chain of calls that refer to each other; beyond it, and in cycles, a call has no level.
-MOST_LEVELS = 10_000
+#: Up to so many tools their schemas become literals of the plan; more are joined as a table.
+LITERAL_TOOLS = 1000
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
 RESULT = "struct<tool_call_id:string,content:variant>"
@@ -45,18 +46,25 @@ def _kind(value: Column) -> Column:
     )
 
 
-def errors(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """What is wrong with a call's arguments, sorted. schemas: tool -> parameter -> (type, required).
+SHAPE = "array<struct<param:string,type:string,required:boolean>>"
+
+
+def with_specs(calls: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """Adds `spec`, the parameters of a call's tool. schemas: tool -> parameter -> (type, required).
 
     Types: string, integer, number (integers too), boolean, array, object, null.
     """
-    if len(schemas) > MOST_TOOLS:
-        raise ValueError(f"more than {MOST_TOOLS} tools")
-    shape = "array<struct<param:string,type:string,required:boolean>>"
+    rows = [(tool, [(p, t, r) for p, (t, r) in sorted(params.items())]) for tool, params in sorted(schemas.items())]
+    if len(rows) > LITERAL_TOOLS:  # the driver was given all of them, so they may be broadcast
+        return calls.join(F.broadcast(calls.sparkSession.createDataFrame(rows, f"name string, spec {SHAPE}")), "name", "left")
     pairs: list[Column] = []
-    for tool, params in sorted(schemas.items()):
-        pairs += [F.lit(tool), F.array(*[F.struct(F.lit(p).alias("param"), F.lit(t).alias("type"), F.lit(r).alias("required")) for p, (t, r) in sorted(params.items())]).cast(shape)]
-    spec = F.try_element_at(F.create_map(*pairs), name) if pairs else F.lit(None).cast(shape)
+    for tool, params in rows:
+        pairs += [F.lit(tool), F.array(*[F.struct(F.lit(p).alias("param"), F.lit(t).alias("type"), F.lit(r).alias("required")) for p, t, r in params]).cast(SHAPE)]
+    return calls.withColumn("spec", F.try_element_at(F.create_map(*pairs), "name") if pairs else F.lit(None).cast(SHAPE))
+
+
+def errors(spec: Column, arguments: Column) -> Column:
+    """What is wrong with a call's arguments by its tool's parameters, sorted."""
     given = arguments.try_cast("map<string,variant>")
     keys, entries = F.map_keys(given), F.map_entries(given)
 
@@ -73,24 +81,37 @@ def errors(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[s
 def levels(calls: DataFrame, refers: DataFrame) -> DataFrame:
     """conv_id, call_id, level: 0 for calls that refer to no call, else one above the highest they refer to.
 
-    Both: conv_id, call_id (refers also: dep). Kahn's rounds as joins; each round handles a whole level of all conversations.
-    Calls in a cycle, or that refer to one, get no level.
+    Both: conv_id, call_id (refers also: dep). Rounds of joins over all conversations. An arc (call, dep, w) says that the
+    call stands at least w above dep, `least` what is known of the call without its open arcs. A round settles the arcs to
+    calls with a level, and moves an arc to a call that waits for one other call alone on to that one, so chains shrink by
+    half. A round that gives no call a level leaves those in a cycle, or that refer to one: these get none.
     """
-    keys = ["conv_id", "call_id"]
-    waits = materialize(refers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "chat-waits")
-    done = materialize(calls.join(waits, keys, "left_anti").select(*keys, F.lit(0).alias("level")), "chat-level")
-    everything, arcs = done, refers
-    for level in range(1, MOST_LEVELS):
-        if arcs.isEmpty():
-            break
-        met = arcs.join(done.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
-        if met.isEmpty():
-            break
-        arcs = materialize(arcs.join(done.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"), "chat-arcs")
-        touched = met.select(*keys).distinct()
-        done = materialize(touched.join(arcs.select(*keys), keys, "left_anti").withColumn("level", F.lit(level)), "chat-level")
-        everything = everything.unionByName(done)
-    return everything
+    keys, spark = ["conv_id", "call_id"], calls.sparkSession
+    folder = shared_path(spark, "chat-levels")
+    schema = StructType([calls.schema["conv_id"], calls.schema["call_id"], StructField("level", LongType())])
+    calls.join(refers.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("level")).write.parquet(f"{folder}/round=0")
+    open_arcs = refers.select(*keys, "dep", F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("least"))
+    for number in itertools.count(1):
+        done = spark.read.schema(schema).parquet(*[f"{folder}/round={k}" for k in range(number)])
+        waits = open_arcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"), F.min("dep").alias("on"), F.max("w").alias("w"))
+        waits = waits.select("conv_id", F.col("call_id").alias("dep"), F.col("n"), F.col("least").alias("dep_least"), F.col("on"), F.col("w").alias("dep_w"))
+        met = open_arcs.join(done.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"], "left").join(waits, ["conv_id", "dep"], "left")
+        move = F.col("level").isNull() & (F.col("n") == 1)
+        moved = met.select(
+            *keys,
+            F.when(F.col("level").isNull(), F.when(move, F.col("on")).otherwise(F.col("dep"))).alias("dep"),
+            F.when(move, F.col("w") + F.col("dep_w")).otherwise(F.col("w")).alias("w"),
+            F.greatest("least", F.when(F.col("level").isNotNull(), F.col("level") + F.col("w")), F.when(move, F.col("dep_least") + F.col("w"))).alias("least"),
+        )
+        # arcs to one call are one, with the most that they say; a call without open arcs stands at `least`
+        state = moved.groupBy(*keys, "dep").agg(F.max("w").alias("w"), F.max("least").alias("least"))
+        state = materialize(state, "chat-arcs")
+        waiting = state.where("dep is not null").select(*keys).distinct()
+        known = state.groupBy(*keys).agg(F.max("least").alias("level"))
+        known.join(waiting, keys, "left_anti").write.parquet(f"{folder}/round={number}")
+        if spark.read.schema(schema).parquet(f"{folder}/round={number}").isEmpty():
+            return done
+        open_arcs = state.where("dep is not null").drop("least").join(known.withColumnRenamed("level", "least"), keys)
 
 
 def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -103,8 +124,8 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -
     are not read; an empty table gives an empty result.
     """
     calls, results = parse(messages)
-    calls = calls.withColumn("arguments_json", F.to_json("arguments")).withColumn("errors", errors(F.col("name"), F.col("arguments"), schemas))
-    calls = materialize(calls.drop("arguments"), "chat-calls")
+    calls = with_specs(calls.withColumn("arguments_json", F.to_json("arguments")), schemas).withColumn("errors", errors(F.col("spec"), F.col("arguments")))
+    calls = materialize(calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments_json", "errors"), "chat-calls")
     named = calls.where("conv_id is not null and call_id is not null")
     firsts = named.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos")).alias("first"))
     keys = ["conv_id", "call_id"]

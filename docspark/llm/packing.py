@@ -1,14 +1,15 @@
 """Best-fit packing with a grouping genetic algorithm.
 
 Whole sequences are the genes: crossover injects the best-filled sequences of one parent into the other, removes the
-sequences that hold one of their documents twice, and best-fits the displaced documents. Shards of pieces are solved apart, each by several
-islands (rows of a grouped Spark job); between epochs every island passes its best packing on to the next island of its shard.
+sequences that hold one of their documents twice, swaps displaced documents into sequences that they fill better, and best-fits
+the rest. Shards of pieces are solved apart, each by several islands (rows of a grouped Spark job); between epochs every island
+keeps its best packing and takes in that of the island before it.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,6 +104,37 @@ def fitness(bins: Packing, length: list[int], capacity: int) -> tuple[int, float
     return -len(bins), float(sum(f * f for f in fill)) / max(1, len(bins))
 
 
+#: Displaced pieces, the longest, of which replace() tries one or two.
+DISPLACED = 40
+
+
+def replace(loose: list[int], length: list[int], capacity: int, bins: Packing) -> list[int]:
+    """Swap one or two pieces of a sequence with room for one or two longer displaced ones that still fit; what is displaced then.
+
+    Every swap fills a sequence better and leaves shorter pieces, which fit more easily.
+    """
+    loose = sorted(loose, key=lambda k: -length[k])
+    kept, rest = loose[:DISPLACED], loose[DISPLACED:]
+    pairs = lambda xs: [(length[x], (x,)) for x in xs] + [(length[x] + length[y], (x, y)) for i, x in enumerate(xs) for y in xs[:i]]
+    offers = sorted(pairs(kept))
+    sums = [n for n, _ in offers]
+    for i, b in enumerate(bins):
+        room = capacity - sum(length[x] for x in b)
+        if not room or not offers:
+            continue
+        best = (0, (), ())
+        for n, out in pairs(b):
+            at = bisect_right(sums, n + room) - 1
+            if at >= 0 and sums[at] - n > best[0]:
+                best = (sums[at] - n, out, offers[at][1])
+        if best[0]:
+            bins[i] = [x for x in b if x not in best[1]] + list(best[2])
+            kept = [x for x in kept if x not in best[2]] + list(best[1])
+            offers = sorted(pairs(kept))
+            sums = [n for n, _ in offers]
+    return kept + rest
+
+
 def crossover(one: Packing, two: Packing, length: list[int], capacity: int, rng: np.random.Generator) -> Packing:
     """Inject some of the fullest sequences of `two` into `one`."""
     fill = np.array([sum(length[x] for x in b) for b in two]) + rng.random(len(two))
@@ -115,14 +147,15 @@ def crossover(one: Packing, two: Packing, length: list[int], capacity: int, rng:
             child.append(list(b))
         else:
             loose += [x for x in b if x not in inside]
-    return best_fit(loose, length, capacity, child)
+    return best_fit(replace(loose, length, capacity, child), length, capacity, child)
 
 
 def mutate(bins: Packing, length: list[int], capacity: int, rng: np.random.Generator) -> Packing:
     """Dissolve the emptiest sequences and a few others, and best-fit their documents."""
     fill = np.array([sum(length[x] for x in b) for b in bins])
     worst = set(np.argsort(fill)[: max(1, len(bins) // 50)].tolist()) | set(rng.integers(0, len(bins), max(1, len(bins) // 50)).tolist())
-    return best_fit([x for i in worst for x in bins[i]], length, capacity, [list(b) for i, b in enumerate(bins) if i not in worst])
+    child = [list(b) for i, b in enumerate(bins) if i not in worst]
+    return best_fit(replace([x for i in sorted(worst) for x in bins[i]], length, capacity, child), length, capacity, child)
 
 
 def evolve(length: list[int], capacity: int, seeds: list[Packing], seed: tuple[int, ...], generations: int = GENERATIONS) -> Packing:
@@ -147,30 +180,35 @@ def evolve(length: list[int], capacity: int, seeds: list[Packing], seed: tuple[i
 
 
 def _solve(items: DataFrame, capacity: int, epochs: int, islands: int) -> DataFrame:
-    """items: shard, key, length -> key, shard, bin. One group a shard and island; after an epoch elites move on by one island."""
-    starts = items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("bin", F.lit(-1))
+    """items: shard, key, length -> key, shard, bin. One group a shard and island; `origin` is the island that a packing is from."""
+    starts = items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("bin", F.lit(-1)).withColumn("origin", F.lit(-1))
 
     def epoch(number: int):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("key")
-            length, had = frame["length"].tolist(), frame["bin"].to_numpy()
-            seeds = []
-            if len(had) and had[0] >= 0:
+            frame = frame.sort_values(["origin", "key"])
+            parts = [g for _, g in frame.groupby("origin", sort=True)]
+            length, seeds = parts[0]["length"].tolist(), []
+            for part in parts if number else []:
+                had = part["bin"].to_numpy()
                 order = np.argsort(had, kind="stable")
-                seeds = [[x.tolist() for x in np.split(order, np.flatnonzero(np.diff(had[order])) + 1)]]
+                seeds.append([x.tolist() for x in np.split(order, np.flatnonzero(np.diff(had[order])) + 1)])
             best = evolve(length, capacity, seeds, (int(frame["shard"].iat[0]), int(frame["island"].iat[0]), number))
             out = np.empty(len(length), np.int32)
             for i, b in enumerate(best):
                 out[b] = i
-            return frame.assign(bin=out, bins=len(best))
+            return parts[0].assign(bin=out, bins=len(best)).drop(columns="origin")
 
         return run
 
-    schema = "shard long, key long, length int, island int, bin int"
+    columns, schema = ["shard", "key", "length", "island", "bin"], "shard long, key long, length int, island int, bin int"
     solved = None
     for e in range(epochs):
-        rows = starts if solved is None else solved.drop("bins").withColumn("island", (F.col("island") + 1) % islands)
-        solved = materialize(rows.select("shard", "key", "length", "island", "bin").groupBy("shard", "island").applyInPandas(epoch(e), f"{schema}, bins int"), "pack-epoch")
+        if solved is None:
+            rows = starts
+        else:  # its own elite and the one of the island before
+            own = solved.select(*columns, F.col("island").alias("origin"))
+            rows = own.unionByName(own.withColumn("island", (F.col("island") + 1) % islands)) if islands > 1 else own
+        solved = materialize(rows.select(*columns, "origin").groupBy("shard", "island").applyInPandas(epoch(e), f"{schema}, bins int"), "pack-epoch")
     best = solved.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
     return solved.join(best, ["shard", "island"]).select("key", "shard", "bin")
 
@@ -178,8 +216,8 @@ def _solve(items: DataFrame, capacity: int, epochs: int, islands: int) -> DataFr
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """items: key long (unique), length int (1 to capacity) -> key, sequence_id, offset.
 
-    Full pieces are sequences of their own. The rest is dealt to shards by a hash of the key and solved; then the sequences
-    that stayed open in any shard are taken apart and packed once more together, in shards of the same size.
+    Full pieces are sequences of their own. The rest is dealt to shards by a hash of the key and solved; then all sequences
+    with room left, of all shards, are taken apart and packed once more together, in shards of the same size.
     """
     full = items.where(F.col("length") == capacity).select("key")
     small = items.where(F.col("length") < capacity).select("key", F.col("length").cast("int").alias("length"))
@@ -190,7 +228,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
         placed = materialize(_solve(dealt, capacity, epochs, islands).join(small, "key"), "pack-first")
         if shards > 1:
             fill = placed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
-            open_bins = fill.where(F.col("fill") < 0.97 * capacity)
+            open_bins = fill.where(F.col("fill") < capacity)
             again = placed.join(open_bins.select("shard", "bin"), ["shard", "bin"]).select("key", "length")
             rest = again.count()
             few = -(-max(1, rest) // shard_pieces)

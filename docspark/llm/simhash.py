@@ -29,8 +29,9 @@ _SIGN = (1 << 63) - 1
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
-    """Terms are pairs of neighbouring words (a lone word is one term), weighted by 1 + ln of their count in the text; each
-    term's hash votes with its weight for or against every bit. A text without words has fingerprint 0; ties count against."""
+    """Terms are pairs of neighbouring words (a lone word is one term), weighted by 1 + ln of their count in the text,
+    in steps of 1/64; each term's hash votes with its weight for or against every bit. A text without words has fingerprint 0;
+    ties count against. Votes are whole numbers, so they are the same in any order."""
     words, offsets = word_hashes(texts)
     pairs = mix64(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else np.zeros(0, np.uint64)
     out = np.zeros(len(texts), np.uint64)
@@ -38,12 +39,12 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
         if b == a:
             continue
         terms, counts = np.unique(pairs[a : b - 1] if b - a > 1 else mix64(words[a:b]), return_counts=True)
-        weights = (1 + np.log(counts)).astype(np.float32)
-        votes = np.zeros(FINGERPRINT_BITS, np.float32)
+        weights = np.rint(64 * (1 + np.log(counts))).astype(np.float32)
+        votes = np.zeros(FINGERPRINT_BITS, np.int64)
         for k in range(0, len(terms), 4096):  # a long text's votes add up piece by piece
             bits = np.unpackbits(terms[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes += weights[k : k + 4096] @ bits.astype(np.float32)
-        up = votes * 2 > weights.sum()
+            votes += (weights[k : k + 4096] @ bits.astype(np.float32)).astype(np.int64)  # whole numbers under 2**24 are exact
+        up = votes * 2 > weights.sum(dtype=np.float64)
         out[i] = np.packbits(up, bitorder="little").view("<u8")[0]
     return out
 

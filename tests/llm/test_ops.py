@@ -273,6 +273,32 @@ def test_genetic_packing_is_whole_and_tight():
     assert any(b in child for b in two)
 
 
+def test_search_beats_best_fit():
+    rng = np.random.default_rng(8)
+    better = 0
+    for _ in range(4):
+        lengths: list[int] = []
+        for _ in range(30):  # thirty sequences that three pieces fill
+            a = int(rng.integers(390, 510))
+            b = int(rng.integers(250, (1024 - a) // 2 + 1))
+            lengths += [a, b, 1024 - a - b]
+        plain = len(packing.best_fit(list(range(90)), lengths, 1024, []))
+        found = packing.evolve(lengths, 1024, [], (1, 2), generations=40)
+        assert sorted(x for b in found for x in b) == list(range(90)) and all(sum(lengths[x] for x in b) <= 1024 for b in found)
+        better += plain - len(found)
+        assert len(found) <= plain
+    assert better >= 2
+    bins = [[0, 1]]
+    assert packing.replace([2], [500, 300, 520], 1024, bins) == [1] and sorted(bins[0]) == [0, 2]
+
+
+def test_islands_keep_their_elite(spark):
+    lengths = np.random.default_rng(5).integers(100, 900, 60).tolist()
+    items = spark.createDataFrame([(0, k, n) for k, n in enumerate(lengths)], "shard long, key long, length int")
+    counts = [packing._solve(items, 1024, e, 2).groupBy("bin").count().count() for e in (1, 3)]
+    assert counts[1] <= counts[0] <= len(packing.best_fit(list(range(60)), lengths, 1024, []))
+
+
 def test_rans_round_trips():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 2049, 300_000):
@@ -436,6 +462,33 @@ def test_simhash_report(spark, docs, nothing, monkeypatch):
     assert simhash.fingerprint_report(nothing).count() == 0
 
 
+def plain_fingerprint(text: str) -> int:
+    """Votes counted one by one over the words of the text."""
+    import xxhash
+
+    def mix(x: int) -> int:
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * m) & (2**64 - 1)
+        return x ^ (x >> 33)
+
+    w = [xxhash.xxh3_64_intdigest(x) for x in WORD.findall(text.translate(LOWER))]
+    terms = collections.Counter([mix((a * 0x9E3779B97F4A7C15 + b) % 2**64) for a, b in zip(w, w[1:], strict=False)] if len(w) > 1 else [mix(x) for x in w])
+    votes = [sum(round(64 * (1 + np.log(n))) * (1 if t >> k & 1 else -1) for t, n in terms.items()) for k in range(64)]
+    return sum(1 << k for k, v in enumerate(votes) if v > 0)
+
+
+def test_fingerprints_are_votes(spark, docs):
+    rows = sorted(odd_rows(), key=lambda r: (-r[0], r[1] or ""))
+    got = {(r.doc_id, r.n_chars): r for r in simhash.fingerprint_report(docs).collect()}
+    bits = lambda x, y: 1 - (x ^ y).bit_count() / 64
+    for k, (i, t, *_) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        r, fp, fe, fn = got[i, len(t)], *map(plain_fingerprint, (t, edited, nxt))
+        assert (r.fingerprint, r.edited_fingerprint) == (f"{fp:016x}", f"{fe:016x}")
+        assert r.near_edited == pytest.approx(bits(fp, fe)) and r.near_next == pytest.approx(bits(fp, fn))
+
+
 def test_radius_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(7)
@@ -463,6 +516,48 @@ def test_language_model_scores(spark, docs, nothing):
     assert bloomlm.scores(nothing).count() == 0
 
 
+def plain_scores(rows):
+    """The model with exact counts in place of the filter."""
+    toks = {k: [*WORD.findall((r[1] or "").translate(LOWER)), None] for k, r in enumerate(rows)}
+    train = [toks[k] for k, r in enumerate(rows) if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    one = collections.Counter(w for t in train for w in t)
+    two = collections.Counter(p for t in train for p in zip(["start", *t], t, strict=False))
+
+    def quantised(c: int) -> float:
+        if not c:
+            return 0.0
+        level = 1 + int(np.floor(np.log(c) / np.log(1.5) + 1e-9))
+        return float(level) if level <= 2 else (1.5 ** (level - 1) + 1.5**level) / 2
+
+    n, v = sum(one.values()), len(one)
+    unseen = min(0.99, max(0.01, sum(c == 1 for c in two.values()) / sum(two.values())))
+    out = []
+    for t in toks.values():
+        total = 0.0
+        for k, (a, b) in enumerate(zip(["start", *t], t, strict=False)):
+            context = len(train) if k == 0 else quantised(one[a])
+            both = quantised(two[a, b])
+            weight = 1 - unseen if context > 0 else 0.0
+            total += np.log10(weight * min(1.0, both / max(context, both, 1)) + (1 - weight) * (quantised(one[b]) + 0.5) / (n + 0.5 * (v + 1)))
+        out.append(total)
+    return out
+
+
+def test_scores_equal_the_model_with_exact_counts(spark):
+    rows = [(i, t, lang, s) for i, (_, t, lang, s) in enumerate(odd_rows())]
+    want = plain_scores(rows)
+    got = {r.doc_id: r for r in bloomlm.scores(documents(rows, spark)).collect()}
+    off = [abs(got[i].score - want[i]) / got[i].n_tokens for i in got]
+    assert np.mean(np.array(off) < 1e-9) > 0.8 and max(off) < 0.05  # the filter's rare false answers only
+
+
+def test_learnt_texts_score_above_held_out_ones(spark, data):
+    real = spark.read.parquet(f"{data}/documents.parquet")
+    got = bloomlm.scores(real).where("n_tokens > 20").withColumn("per", F.col("score") / F.col("n_tokens")).groupBy("held_out").agg(F.avg("per").alias("m")).collect()
+    mean = {r.held_out: r.m for r in got}
+    assert mean[False] > mean[True]
+
+
 def test_filter_levels_never_fall_short():
     rng = np.random.default_rng(3)
     grams = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))

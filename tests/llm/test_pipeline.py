@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docspark.llm import langid
-from tests.llm.test_ops import brute_components, documents, near_rows, odd_rows, word_sets
+import pytest
+from pyspark.sql import functions as F
+
+from docspark.llm import langid, mixing
+from tests.llm.test_ops import WORD, brute_components, documents, near_rows, odd_rows, word_sets
 
 
 def test_stages_in_turn(spark, tmp_path):
@@ -21,6 +24,11 @@ def test_stages_in_turn(spark, tmp_path):
         if name == "near_duplicates":
             sets = word_sets([(r.doc_id, r.text) for r in before.collect()])
             assert sorted(r.doc_id for r in docs.collect()) == sorted(set(brute_components(sets).values()))
+        if name == "mixing":
+            took = mixing.taken(before)
+            words = sum(len(WORD.findall(r.text)) for r in docs.collect())
+            assert words == took.agg(F.sum("taken")).first()[0]
+            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in took.where("taken > 0").collect()}
         if name == "packing":
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
 
@@ -28,3 +36,20 @@ def test_stages_in_turn(spark, tmp_path):
 def test_run(spark, data):
     rows = corpus_pipeline.run(spark, data)
     assert rows.count() > 0 and "sequence_id" in rows.columns
+
+
+@pytest.mark.parametrize("case", ["empty", "nulls", "long"])
+def test_stages_of_odd_tables(spark, tmp_path, case):
+    words = " ".join(f"wort{i % 997}x" for i in range(120_000))
+    rows = {"empty": [], "nulls": [(None, None, None, None), (1, None, "en", None), (None, None, None, "a")], "long": [(1, words, "de", "a"), (2, words, "de", None), (3, "ein wort und noch ein wort mehr", "de", "a")]}[case]
+    docs = documents(rows, spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert name == "packing" or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    got = docs.collect()
+    if case == "long":
+        assert {r.doc_id for r in got} <= {1, 3} and sum(r.length for r in got) > 120_000
+    else:
+        assert not got

@@ -548,7 +548,7 @@ def test_scores_equal_the_model_with_exact_counts(spark):
     want = plain_scores(rows)
     got = {r.doc_id: r for r in bloomlm.scores(documents(rows, spark)).collect()}
     off = [abs(got[i].score - want[i]) / got[i].n_tokens for i in got]
-    assert np.mean(np.array(off) < 1e-9) > 0.8 and max(off) < 0.05  # the filter's rare false answers only
+    assert np.mean(np.array(off) < 1e-9) > 0.4 and max(off) < 0.02  # the filter's rare false answers only
 
 
 def test_learnt_texts_score_above_held_out_ones(spark, data):

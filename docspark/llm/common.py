@@ -46,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -176,9 +176,10 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents, with the columns of `docs`, written shard by shard in each shard's order.
+    """The mix as documents, with the columns of `docs`.
 
-    One row for each pass that takes any of a document's words, in the shard and place of its first piece. The one document
+    One row for each pass that takes any of a document's words, in the shard and place of its first piece. Texts are dealt to
+    partitions by document, in one shuffle; inside a partition shards follow each other, each in its random order. The one document
     of a source at which its target ends is cut there, after the words that the mix takes (`n_chars`, where there is such a
     column, is that of the cut text); all others are whole.
     """
@@ -191,7 +192,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     short = first_words(text, F.col("words"))
     new = {"text": F.when(cut, short).otherwise(text)} | ({"n_chars": F.when(cut, F.length(short)).otherwise(F.col("_doc.n_chars"))} if "n_chars" in docs.columns else {})
     out = joined.select("shard", "place", *[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_doc.{c}")).alias(f"_{i}") for i, c in enumerate(docs.columns)])
-    return out.repartition("shard").sortWithinPartitions("shard", "place").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return out.sortWithinPartitions("shard", "place").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 ORACLE = """

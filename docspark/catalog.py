@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import ingest, retrieval, signals, streams
+from docspark.plans import ingest, replies, retrieval, signals, streams
 
-MODULES = [retrieval, ingest, signals, streams]
+MODULES = [retrieval, ingest, signals, replies, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

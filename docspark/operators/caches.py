@@ -10,9 +10,10 @@ from docspark.functions import text as T
 NEAR = 0.08
 
 
-def key(*fields: Column) -> Column:
-    """The first 16 hex digits of the digest of the fields' canonical form."""
-    return F.left(F.sha2(F.concat_ws("|", *fields).cast("binary"), 256), F.lit(16))
+def key(**fields: Column) -> Column:
+    """The first 16 hex digits of the digest of the fields' canonical form: a JSON object with its keys in order, nulls kept."""
+    canonical = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return F.left(F.sha2(canonical.cast("binary"), 256), F.lit(16))
 
 
 def exact_lookup(asks: DataFrame, cache: DataFrame, now: Column) -> DataFrame:

@@ -117,15 +117,47 @@ def parents_of(hits: DataFrame, chunks: DataFrame, parents: DataFrame) -> DataFr
 def lexical(queries: DataFrame, files: DataFrame, k: int = 6) -> DataFrame:
     """Path-weighted substring search: a query token counts 3 if the path holds it, else 1 if the text does; top k.
 
-    files: doc_id, path, text. Tokens keep their multiplicity. Substring matching has no equi-key, so the (checked, small)
+    files: doc_id, path, language, line, text; language and text are searched too, ties go by path and line. Tokens keep their multiplicity. Substring matching has no equi-key, so the (checked, small)
     token side is broadcast.
     """
     tokens = queries.select("query_id", F.explode(T.code_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight"))
-    hay = files.select("doc_id", F.lower("path").alias("p"), F.lower(F.concat_ws("\n", "path", "text")).alias("h"))
+    hay = files.select("doc_id", "path", "line", F.lower("path").alias("p"), F.lower(F.concat_ws("\n", "path", "language", "text")).alias("h"))
     distinct = tokens.select("token").distinct()
-    hits = hay.join(_few(distinct, 100_000), F.expr("instr(h, token) > 0")).select("doc_id", "token", F.when(F.expr("instr(p, token) > 0"), 3).otherwise(1).alias("value"))
-    scored = hits.join(tokens, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
-    return top_k(scored, "score", k)
+    hits = hay.join(_few(distinct, 100_000), F.expr("instr(h, token) > 0")).select("doc_id", "path", "line", "token", F.when(F.expr("instr(p, token) > 0"), 3).otherwise(1).alias("value"))
+    scored = hits.join(tokens, "token").groupBy("query_id", "doc_id", "path", "line").agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "line", "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+SEARCH_BACKENDS = ("keyword", "vector", "hybrid")
+
+
+def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, query_vectors: DataFrame, backend: str | None = None, size: int = 10, offset: int = 0, min_score: float = 0.0, category: Column | None = None) -> DataFrame:
+    """One entry for all searches: query_id, mode, total, hits (array of rank, doc_id, score); queries: query_id, text, use_hybrid.
+
+    A query with a vector is hybrid if it asks for that, a vector search if its text is blank, else a keyword search, as is
+    one without a vector. `backend` sets one mode for all. Queries without hits have a total of 0 and no hits.
+    """
+    if backend is not None and backend not in SEARCH_BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}: one of {', '.join(SEARCH_BACKENDS)}")
+    has = query_vectors.select("query_id", F.lit(True).alias("_v"))
+    mode = F.when(F.col("_v") & F.col("use_hybrid"), "hybrid").when(F.col("_v") & (F.trim("text") == ""), "vector").otherwise("keyword") if backend is None else F.lit(backend)
+    asked = queries.join(has, "query_id", "left").withColumn("mode", mode)
+    if category is not None:
+        docs = docs.where(category)
+        vectors = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
+    of = {m: asked.where(F.col("mode") == m).select("query_id", "text") for m in SEARCH_BACKENDS}
+    own = {m: query_vectors.join(of[m].select("query_id"), "query_id", "left_semi") for m in ("vector", "hybrid")}
+    words = bm25_scores(of["keyword"], docs).select("query_id", "doc_id", "score")
+    near = vector_topk(own["vector"], vectors, size + offset).select("query_id", "doc_id", F.round(similarity(F.col("distance")), 9).alias("score"))
+    both = fuse([keyword_topk(of["hybrid"], docs, 2 * size), vector_topk(own["hybrid"], vectors, 2 * size)])
+    found = words.unionByName(near).unionByName(both).where(F.col("score") >= min_score)
+    hit = F.when((F.col("rank") > offset) & (F.col("rank") <= offset + size), F.struct("rank", "doc_id", "score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    pages = ranked.where(F.col("rank") <= offset + size).groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    out = asked.select("query_id", "mode").join(totals, "query_id", "left").join(pages, "query_id", "left")
+    return out.select("query_id", "mode", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("hits", F.array().cast("array<struct<rank:int,doc_id:bigint,score:double>>")).alias("hits"))
 
 
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:

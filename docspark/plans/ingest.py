@@ -167,11 +167,11 @@ def distinct_projection(spark: SparkSession, d: str) -> DataFrame:
 
 def _path() -> Column:
     """A repository path for a page: its URL path, with made-up folders and suffixes for some."""
-    return F.concat(F.element_at(F.array(*map(F.lit, ("src/", "docs/", "node_modules/", "build/", "", "lib/deep/"))), (F.col("page_id") % 6 + 1).cast("int")), F.lit("file"), F.col("page_id"), F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("page_id") % len(SUFFIXES) + 1).cast("int")))
+    return F.concat(F.element_at(F.array(*map(F.lit, ("src/", "docs/", "node_modules/", "build/", "", "lib/deep/"))), (F.col("page_id") % 6 + 1).cast("int")), F.when(F.col("page_id") % 10 == 3, "ReadMe").otherwise(F.concat(F.lit("file"), F.col("page_id"))), F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("page_id") % len(SUFFIXES) + 1).cast("int")))
 
 
 SUFFIXES = (".py", ".md", ".png", ".ts", "", ".lock", ".sql", ".txt", ".yaml", ".zip", ".rs")
-_PATH = f"['src/','docs/','node_modules/','build/','','lib/deep/'][page_id % 6 + 1] || 'file' || page_id || {list(SUFFIXES)}[page_id % 11 + 1]"
+_PATH = f"['src/','docs/','node_modules/','build/','','lib/deep/'][page_id % 6 + 1] || CASE WHEN page_id % 10 = 3 THEN 'ReadMe' ELSE 'file' || page_id END || {list(SUFFIXES)}[page_id % 11 + 1]"
 
 #: Folders, suffixes and languages of the code index.
 IGNORED_FOLDERS = (".git", ".github/workflows", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "vendor", "dist", "build", "target", ".next", ".nuxt", ".turbo", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".idea", ".vscode", "coverage")
@@ -182,6 +182,10 @@ LANGUAGES = {
 }
 
 
+#: File names that the code index takes first.
+IMPORTANT_FILES = ("readme", "readme.md", "readme.rst", "license", "license.md", "contributing.md", "code_of_conduct.md", "pyproject.toml", "package.json", "requirements.txt", "dockerfile", "docker-compose.yml")
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
 
@@ -212,7 +216,8 @@ def language_classify(spark: SparkSession, d: str) -> DataFrame:
 def file_priority_topn(spark: SparkSession, d: str) -> DataFrame:
     """The first 250 files by importance, depth and path, within the size window."""
     files = _pages(spark, d).select("page_id", _path().alias("path"), F.length("html").alias("size")).where("size > 0 and size <= 250000")
-    important = F.when(F.col("path").endswith(".md"), 0).otherwise(1)
+    low = F.lower("path")
+    important = F.when(F.regexp_extract(low, "([^/]*)$", 1).isin(*IMPORTANT_FILES) | low.startswith("docs/"), 0).otherwise(1)
     return files.orderBy(important, F.size(F.split("path", "/")), "path").limit(250).select("page_id", "path")
 
 
@@ -288,7 +293,7 @@ _SIGS = f"""{_SHINGLES},
 hs AS (SELECT doc_id, ('0x' || substr(md5(x), 1, 7))::BIGINT AS h FROM (SELECT doc_id, unnest(s) AS x FROM sh)),
 sg AS (SELECT doc_id, [{_MINS}] AS sig FROM hs GROUP BY doc_id)"""
 _CAND = f"""{_SIGS},
-bd AS (SELECT doc_id, i, array_to_string(sig[i * 4 + 1 : i * 4 + 4], ':') AS band FROM sg, range({D.PERMUTATIONS // D.ROWS}) r(i)),
+bd AS (SELECT doc_id, i, array_to_string(sig[i * {D.ROWS} + 1 : i * {D.ROWS} + {D.ROWS}], ':') AS band FROM sg, range({D.PERMUTATIONS // D.ROWS}) r(i)),
 ca AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bd x JOIN bd y ON x.i = y.i AND x.band = y.band AND x.doc_id < y.doc_id)"""
 _WIN = """w AS (SELECT doc_id, regexp_extract_all(text, '(\\S+)', 1) AS w FROM documents),
 c AS (SELECT doc_id, w, len(w) AS n, CASE WHEN len(w) < 100 OR len(w) <= 600 THEN 0 ELSE CAST(ceil((len(w) - 600) / 500.0) AS INTEGER) END AS last FROM w WHERE len(w) > 0),
@@ -344,7 +349,7 @@ SELECT doc_id, CAST(parent_index AS INTEGER) AS parent_index, CAST(child_index A
     "distinct_projection": f"WITH {_PARSED} SELECT DISTINCT title FROM parsed WHERE title <> ''",
     "path_ignore": f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages) SELECT page_id, path, list_has_any(string_split(path, '/'), {list(IGNORED_FOLDERS)}) OR list_contains({list(IGNORED_SUFFIXES)}, regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) AS ignored FROM p",
     "language_classify": f"WITH p AS (SELECT page_id, regexp_extract({_PATH}, '[^/.](\\.[^./]+)$', 1) AS x FROM pages) SELECT page_id, coalesce(MAP {LANGUAGES}[x], nullif(upper(substr(x, 2)), ''), 'Text') AS language FROM p".replace("MAP {'", "MAP {'"),
-    "file_priority_topn": f"WITH p AS (SELECT page_id, {_PATH} AS path, length(html) AS size FROM pages) SELECT page_id, path FROM p WHERE size > 0 AND size <= 250000 ORDER BY CASE WHEN ends_with(path, '.md') THEN 0 ELSE 1 END, len(string_split(path, '/')), path LIMIT 250",
+    "file_priority_topn": f"WITH p AS (SELECT page_id, {_PATH} AS path, length(html) AS size FROM pages) SELECT page_id, path FROM p WHERE size > 0 AND size <= 250000 ORDER BY CASE WHEN regexp_extract(lower(path), '([^/]*)$', 1) IN {IMPORTANT_FILES} OR starts_with(lower(path), 'docs/') THEN 0 ELSE 1 END, len(string_split(path, '/')), path LIMIT 250",
     "char_budget": "WITH b AS (SELECT doc_id, source, length(text) AS size, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) SELECT doc_id, source, before, least(size, 50000 - before)::BIGINT AS taken FROM b WHERE before < 50000",
     "citations_extract": f"WITH {_REPORTS} SELECT report_id, url, pos FROM ci",
     "citations_verify": f"WITH {_REPORTS} SELECT report_id, url, CASE WHEN reason IS NULL THEN 'verified' ELSE 'unverified' END AS status, reason FROM ve",

@@ -81,11 +81,19 @@ def hybrid_rrf_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_path_weighted(spark: SparkSession, d: str) -> DataFrame:
-    files = _docs(spark, d).select("doc_id", F.concat_ws("/", "source", "lang").alias("path"), "text")
+    files = _docs(spark, d).select("doc_id", F.concat_ws("/", "source", "lang").alias("path"), "lang", "text").select("doc_id", "path", F.upper("lang").alias("language"), (F.col("doc_id") % 5).alias("line"), "text")
     asks = table(spark, d, "documents").select(F.concat_ws(" ", "source", "lang").alias("text")).distinct().select(F.col("text").alias("query_id"), "text")
     return R.lexical(asks, files).select("query_id", "doc_id", "score", "rank")
 
 
+def search_unified(spark: SparkSession, d: str) -> DataFrame:
+    """Three kinds of queries by item: hybrid, vector (blank text) and keyword."""
+    kind = F.col("query_id") % 3
+    asks = _queries(spark, d).select("query_id", F.when(kind == 1, " ").otherwise(F.col("text")).alias("text"), (kind == 0).alias("use_hybrid"))
+    found = R.search(asks, _docs(spark, d), _vectors(spark, d), _query_vectors(spark, d))
+    return found.select("query_id", "mode", "total", F.array_join(F.transform("hits", lambda h: h["doc_id"].cast("string")), ",").alias("hits"))
+
+
 def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _queries(spark, d), _docs(spark, d)
     hits = R.keyword_topk(q, docs, 15).join(q.withColumnRenamed("text", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
@@ -139,9 +147,13 @@ SQL = {
     "lexical_path_weighted": """
 WITH q AS (SELECT DISTINCT source || ' ' || lang AS query_id FROM documents),
 t AS (SELECT query_id, token, count(*) AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(query_id), '([a-z0-9_./-]{2,})', 1)) AS token FROM q) GROUP BY ALL),
-h AS (SELECT doc_id, lower(source || '/' || lang) AS p, lower(source || '/' || lang || chr(10) || text) AS h FROM documents),
-s AS (SELECT query_id, doc_id, CAST(sum(weight * CASE WHEN contains(p, token) THEN 3 ELSE 1 END) AS BIGINT) AS score FROM h JOIN t ON contains(h, token) GROUP BY ALL)
-SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 6""",
+h AS (SELECT doc_id, doc_id % 5 AS line, source || '/' || lang AS path, lower(source || '/' || lang) AS p, lower(source || '/' || lang || chr(10) || upper(lang) || chr(10) || text) AS h FROM documents),
+s AS (SELECT query_id, doc_id, path, line, CAST(sum(weight * CASE WHEN contains(p, token) THEN 3 ELSE 1 END) AS BIGINT) AS score FROM h JOIN t ON contains(h, token) GROUP BY ALL)
+SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, line, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 6""",
+    "search_unified": "WITH" + _plain(_TERMS) + "," + _plain(_VEC) + "," + _RRF.replace("{least}", "0") + """,
+m AS (SELECT item_id AS query_id, CASE WHEN embedding IS NOT NULL AND item_id % 3 = 0 THEN 'hybrid' WHEN embedding IS NOT NULL AND item_id % 3 = 1 THEN 'vector' ELSE 'keyword' END AS mode FROM benchmark LEFT JOIN embeddings ON item_id = vec_id),
+a AS (SELECT query_id, doc_id, rank, NULL AS total FROM ranked JOIN m USING (query_id) WHERE mode = 'hybrid' UNION ALL SELECT query_id, doc_id, rank, 10 FROM vk JOIN m USING (query_id) WHERE mode = 'vector' UNION ALL SELECT query_id, doc_id, rank, NULL FROM kw JOIN m USING (query_id) WHERE mode = 'keyword' AND query_id % 3 <> 1)
+SELECT m.query_id, mode, coalesce(max(total), count(a.doc_id))::BIGINT AS total, coalesce(string_agg(CASE WHEN rank <= 10 THEN a.doc_id END, ',' ORDER BY rank), '') AS hits FROM m LEFT JOIN a USING (query_id) GROUP BY ALL""",
     "rerank_topn": "WITH" + _plain(_TERMS) + """,
 h AS (SELECT k.query_id, k.doc_id, k.rank, list_distinct(regexp_extract_all(lower(b.text), '([a-z0-9]+)', 1)) AS q, regexp_extract_all(lower(d.text), '([a-z0-9]+)', 1) AS t
   FROM kw k JOIN benchmark b ON b.item_id = k.query_id JOIN documents d USING (doc_id) WHERE rank <= 15),

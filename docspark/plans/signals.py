@@ -80,7 +80,7 @@ def pii_redact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.array_join(G.entities(F.col("text")), ",").alias("entities"))
+    return G.entity_rows(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.array_join("entities", ",").alias("entities"))
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,7 @@ def relation_cues(spark: SparkSession, d: str) -> DataFrame:
 
 def exact_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Events of the first half of the ids are cached for 6 hours; all later ones ask by user and type."""
-    e = _events(spark, d).withColumn("key", K.key(F.col("user_id").cast("string"), F.col("event_type")))
+    e = _events(spark, d).withColumn("key", K.key(user=F.col("user_id"), type=F.col("event_type")))
     cut = _events(spark, d).agg(F.avg("event_id").alias("cut"))
     e = e.crossJoin(F.broadcast(cut))
     store = e.where("event_id <= cut").groupBy("key").agg(F.max(F.struct("ts", F.col("event_id").alias("answer"))).alias("m")).select("key", (F.col("m.ts") + F.expr("INTERVAL 6 HOURS")).alias("expires_at"), "m.answer")
@@ -370,7 +370,7 @@ SQL = {
     "kg_node_count": f"WITH {_TRIPLES} SELECT count(DISTINCT n) AS nodes FROM (SELECT subject_name AS n FROM g WHERE subject_type = 'NukeNode' UNION ALL SELECT object_name FROM g WHERE object_type = 'NukeNode')",
     "entity_longest_match": "WITH n AS (SELECT DISTINCT source AS name FROM documents), h AS (SELECT doc_id AS query_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS n FROM documents JOIN n ON contains(lower('about ' || source || ' ' || lang), lower(name))) SELECT query_id, name FROM h WHERE n = 1",
     "relation_cues": f"SELECT doc_id, regexp_matches(lower(substr(text, 1, 3000)), '{'|'.join(GR.CUES)}') AS cue FROM documents",
-    "exact_cache_lookup": """WITH e AS (SELECT *, left(sha256(user_id || '|' || event_type), 16) AS key, avg(event_id) OVER () AS cut FROM events),
+    "exact_cache_lookup": """WITH e AS (SELECT *, left(sha256('{"type":"' || event_type || '","user":' || user_id || '}'), 16) AS key, avg(event_id) OVER () AS cut FROM events),
 s AS (SELECT key, max({'ts': ts, 'a': event_id}) AS m FROM e WHERE event_id <= cut GROUP BY key)
 SELECT event_id AS ask_id, CASE WHEN s.m.ts + INTERVAL 6 HOURS > e.ts THEN s.m.a END AS answer, CASE WHEN s.m.ts + INTERVAL 6 HOURS > e.ts THEN 'hit' ELSE 'miss' END AS status FROM e LEFT JOIN s USING (key) WHERE event_id > cut""",
     "semantic_cache_lookup": """WITH h AS (SELECT max(vec_id) / 2 AS half FROM embeddings), c AS (SELECT * FROM embeddings, h WHERE vec_id > half),

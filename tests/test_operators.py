@@ -171,3 +171,49 @@ def test_stream_equals_batch(spark, data, tmp_path):
 def test_json_lines_drop_malformed(spark, tmp_path):
     (tmp_path / "log.json").write_text('{"status": 200, "uri": "/a"}\nnot json\n{"status": 404, "uri": "/b"}\n')
     assert sorted(r.status for r in readers.json_lines(spark, str(tmp_path), "status int, uri string").collect()) == [200, 404]
+
+
+def test_replies_and_references(spark):
+    from docspark.operators import replies as A
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    lit = F.lit
+    assert tuple(one(A.structured_reply(lit('x {"answer": "a", "confidence": null} y')))) == ("a", None, "part")
+    assert tuple(one(A.structured_reply(lit("{no")))) == ("{no", "low", "text")
+    assert one(A.feedback(lit('```json\n{"status":"fail","feedback":"why"}\n```'))).feedback == "why"
+    assert one(A.feedback(lit('["pass"]'))) is None
+    assert tuple(one(A.verdict_pair(lit("oops")))) == (False, A.NO_VERDICT)
+    assert tuple(one(A.first_artifact(lit("not json")))) == ("an invalid response", None)
+    for raw, want in {"https://github.com/a/b.git": "a/b", "git@github.com:a/b.git": "a/b", "github.com/a/b/": "a/b", " a/b.git": "a/b", "a": None, "a/b/c": None, "a b/c": None}.items():
+        assert one(A.repository(lit(raw))) == want
+    assert one(A.between(lit("x Start: one two. End more STOP"), "start:", ["stop", "end"])) == "one two."
+    assert one(A.between(lit("nothing"), "start:", ["stop"])) == "" and one(A.between(lit("start: all 😀 of it"), "start:", [])) == "all 😀 of it"
+    assert one(A.with_sources(lit(" r "), F.array(lit("b"), lit("a"), lit("b"), lit("")))) == "r\n\n## Sources\n- b\n- a"
+    assert one(A.with_sources(lit("r"), F.array().cast("array<string>"))) == "r"
+    assert one(A.input_name(lit("Unnamed"), lit("the mask to use now"))) == "the mask to use input"
+    blocks = lambda *b: F.array(*[F.struct(lit(p).alias("phase"), lit(t).alias("text")) for p, t in b])
+    assert one(A.block_texts(blocks(("c", "x"), ("final_answer", "x"), ("final_answer", "y"), ("c", "")))) == "y"
+    assert one(A.block_texts(blocks(("c", "x"), ("d", "y"), ("c", "x")))) == "x\n\ny"
+    assert [s.title for s in one(A.sections(lit("<p>i</p><h2>A</h2>a<H2 id='x'>B</h2>b")))] == ["Overview", "A", "B"] and one(A.sections(lit("<p>no</p>"))) == []
+    assert one(A.rejected_at(lit(10), lit(0))) == "input" and one(A.rejected_at(lit(90), lit(0))) == "output" and one(A.rejected_at(lit(90), lit(9))) is None
+
+
+def test_cache_keys_keep_fields_apart(spark):
+    from docspark.operators import caches
+
+    row = spark.range(1).select(caches.key(a=F.lit("x|y"), b=F.lit("")).alias("p"), caches.key(b=F.lit("y|"), a=F.lit("x")).alias("q"), caches.key(b=F.lit(""), a=F.lit("x|y")).alias("r"), caches.key(a=F.lit(None).cast("string"), b=F.lit("")).alias("s")).first()
+    assert row.p == row.r and len({row.p, row.q, row.s}) == 3
+
+
+def test_search_modes_and_errors(spark, data):
+    from docspark.operators import retrieval as R
+    from docspark.plans import retrieval as plans
+
+    args = plans._docs(spark, data), plans._vectors(spark, data), plans._query_vectors(spark, data)
+    asks = plans._queries(spark, data).withColumn("use_hybrid", F.lit(True))
+    got = R.search(asks, *args, size=3).collect()
+    assert all(len(r.hits) <= 3 <= r.total for r in got if r["mode"] == "hybrid") and all([h["rank"] for h in r.hits] == list(range(1, len(r.hits) + 1)) for r in got)
+    none = R.search(asks.withColumn("text", F.lit("zzzzzz")), *args, backend="keyword").collect()
+    assert all(r.total == 0 and r.hits == [] for r in none)
+    with pytest.raises(ValueError):
+        R.search(asks, *args, backend="other")

@@ -134,7 +134,8 @@ def in_blocks(df: DataFrame, keys: list[str], salt: Column, size: int, weight: C
         .withColumn("bj", F.greatest("sub", "_t"))
         .drop("_t", "_n", "_m")
     )
-    return rows.repartition(*keys, "bi", "bj") if deal else rows
+    # a number, as adaptive execution would merge rows so small into one task, whatever their pairs cost
+    return rows.repartition(tasks(df.sparkSession), *keys, "bi", "bj") if deal else rows
 
 
 #: Most range buckets whose edges are kept as literals; beyond, buckets grow and their sorts spill.

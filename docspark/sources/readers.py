@@ -61,10 +61,13 @@ def write_snapshot(table: DataFrame, folder: str, version: int) -> str:
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the newest version, by partition pruning."""
-    every = spark.read.parquet(folder)
-    newest = every.agg(F.max("v")).first()[0]
-    return every.where(F.col("v") == newest).drop("v")
+    """The rows of the newest complete version: one whose write has left its success marker. None complete is an error."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    if not found:
+        raise FileNotFoundError(f"no complete version in {folder}")
+    newest = max(int(f.getPath().getParent().getName()[2:]) for f in found)
+    return spark.read.parquet(f"{folder}/v={newest}")
 
 
 def append_log(rows: DataFrame, folder: str) -> None:

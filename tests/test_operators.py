@@ -217,3 +217,13 @@ def test_search_modes_and_errors(spark, data):
     assert all(r.total == 0 and r.hits == [] for r in none)
     with pytest.raises(ValueError):
         R.search(asks, *args, backend="other")
+
+
+def test_snapshot_of_a_failed_write_is_passed_over(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    with pytest.raises(FileNotFoundError):
+        readers.read_snapshot(spark, folder)
+    for version in (2, 10, 11):
+        readers.write_snapshot(spark.range(version), folder, version)
+    (tmp_path / "state" / "v=11" / "_SUCCESS").unlink()
+    assert readers.read_snapshot(spark, folder).count() == 10

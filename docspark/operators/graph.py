@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.replies import fragment
+
 #: Node labels, predicates and the words that hint at relations.
 ENTITY_TYPES = ("NukeNode", "Knob", "InputType", "OutputType", "Category", "Operation", "Channel", "SupportedValue")
 PREDICATES = ("HAS_KNOB", "KNOB_CONTROLS", "ACCEPTS_INPUT", "OUTPUTS", "BELONGS_TO", "AFFECTS_CHANNEL", "SUPPORTS_VALUE", "SIMILAR_TO")
@@ -22,9 +24,9 @@ def merge(triples: DataFrame) -> DataFrame:
     return valid(triples).select(*COLUMNS).distinct()
 
 
-def dedup_case(triples: DataFrame, order: str) -> DataFrame:
+def dedup_case(triples: DataFrame, order: list[str]) -> DataFrame:
     """One of each triple by names in lower case, the first spelling."""
-    key = Window.partitionBy(F.lower("subject_name"), "predicate", F.lower("object_name")).orderBy(order)
+    key = Window.partitionBy(F.lower("subject_name"), "predicate", F.lower("object_name")).orderBy(*order)
     return triples.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
 
 
@@ -60,19 +62,23 @@ CONTROL = r"(?m)^\s*([^|\n]+?)\s*\|\s*([A-Za-z][A-Za-z0-9_]*|N/A)\s*\|\s*([^|\n]
 
 
 def control_triples(pages: DataFrame) -> DataFrame:
-    """Triples of the control rows in a page's text: HAS_KNOB and KNOB_CONTROLS, and AFFECTS_CHANNEL where channels are named.
+    """Triples of the control rows in a page's text: HAS_KNOB and KNOB_CONTROLS, AFFECTS_CHANNEL where channels are named, and
+    BELONGS_TO the page's section where it has rows and a section.
 
-    pages: name, text. A knob N/A goes by its label; the knob `tab` is none.
+    pages: name, section, text. A knob N/A goes by its label; the knob `tab` is none. An operation is named by the first nine
+    words of what the knob does. Each triple stands once, names compared without case.
     """
     groups = [F.regexp_extract_all("text", F.lit(CONTROL), i) for i in (1, 2, 4)]
-    rows = pages.select("name", F.explode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("label", "knob", "what"), strict=True)])).alias("r"))
-    knob = F.when(F.col("r.knob") == "N/A", F.col("r.label")).otherwise(F.col("r.knob"))
-    rows = rows.select("name", knob.alias("knob"), F.col("r.what").alias("what")).where("name is not null and lower(knob) <> 'tab'")
+    rows = pages.select("name", "section", F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("label", "knob", "what"), strict=True)])).alias("pos", "r"))
+    knob = F.when(F.upper("r.knob") == "N/A", F.col("r.label")).otherwise(F.col("r.knob"))
+    rows = rows.where("name <> '' and lower(r.knob) not in ('tab', 'knob')").select("name", "section", "pos", knob.alias("knob"), F.col("r.what").alias("what"))
+    operation = F.coalesce(F.nullif(fragment(F.col("what"), 9), F.lit("")), F.lit("documented behavior"))
 
     def triple(s: Column, st: str, p: str, o: Column, ot: str) -> Column:
         return F.struct(s.alias("subject_name"), F.lit(st).alias("subject_type"), F.lit(p).alias("predicate"), o.alias("object_name"), F.lit(ot).alias("object_type"))
 
     made = F.array_compact(F.array(
-        triple(F.col("name"), "NukeNode", "HAS_KNOB", F.col("knob"), "Knob"), triple(F.col("knob"), "Knob", "KNOB_CONTROLS", F.col("what"), "Operation"),
-        F.when(F.lower("what").contains("channel"), triple(F.col("knob"), "Knob", "AFFECTS_CHANNEL", F.lit("channels"), "Channel"))))
-    return rows.select(F.explode(made).alias("t")).select("t.*").distinct()
+        F.when(F.col("section") != "", triple(F.col("name"), "NukeNode", "BELONGS_TO", F.col("section"), "Category")),
+        triple(F.col("name"), "NukeNode", "HAS_KNOB", F.col("knob"), "Knob"), triple(F.col("knob"), "Knob", "KNOB_CONTROLS", operation, "Operation"),
+        F.when(F.lower("what").contains("channel"), triple(F.col("knob"), "Knob", "AFFECTS_CHANNEL", F.lit("image channels"), "Channel"))))
+    return dedup_case(rows.select("pos", F.explode(made).alias("t")).select("pos", "t.*"), ["pos", *COLUMNS]).drop("pos")

@@ -109,6 +109,19 @@ def near_dup_gate(spark: SparkSession, d: str) -> DataFrame:
     return S.near_duplicate_gate(pairs.checkpoint(), _docs(spark, d))
 
 
+def upsert_gated(spark: SparkSession, d: str) -> DataFrame:
+    """The documents up to the middle id are stored; the later ones arrive, the English ones under the URL of a stored one.
+    Order-dependent, so it has no SQL and is tested against a loop.
+    """
+    docs = _docs(spark, d).select("doc_id", "lang", "text")
+    half = F.floor(F.col("top") / 2)
+    cut = docs.crossJoin(F.broadcast(docs.agg(F.max("doc_id").alias("top"))))
+    stored = cut.where(F.col("doc_id") <= half).select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("url"))
+    number = F.when(F.col("lang") == "en", F.col("doc_id") - half).otherwise(F.col("doc_id"))
+    arrivals = cut.where(F.col("doc_id") > half).select("doc_id", F.concat(F.lit("doc:"), number).alias("url"), "text")
+    return S.gated_upsert(stored, arrivals, D.verified(_candidates(spark, d).checkpoint(), docs).select("a", "b"))
+
+
 def _store(spark: SparkSession, d: str) -> DataFrame:
     """Pages as a table with flags: the even ones indexed."""
     even = F.col("page_id") % 2 == 0
@@ -357,4 +370,4 @@ SELECT doc_id, CAST(parent_index AS INTEGER) AS parent_index, CAST(child_index A
     "url_harvest": f"WITH {_REPORTS} SELECT report_id, array_to_string(regexp_extract_all(text, '(https://[^\\s)>]+)', 1)[1:2], ' ') AS urls FROM reports",
     "url_safety": "SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'not https' WHEN regexp_matches(url, '^https://[^/]*@') THEN 'credentials' WHEN regexp_matches(url, '^https://(127\\.|10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|0\\.|localhost)') THEN 'private address' END AS reason FROM pages",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "near_dup_gate", "lines_chunked", "recursive_chunked"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "near_dup_gate", "upsert_gated", "lines_chunked", "recursive_chunked"]}

@@ -125,6 +125,12 @@ def kg_merge_dedup(spark: SparkSession, d: str) -> DataFrame:
     return GR.merge(_triples(spark, d))
 
 
+def table_facts(spark: SparkSession, d: str) -> DataFrame:
+    """A page a part with two control rows: its brand's knob, and one named by its container."""
+    text = F.concat(F.lit("Control | Knob | Default | Function\n"), "p_brand", F.lit(" | "), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit(" | 0 | Sets the 2 "), F.lower("p_type"), F.lit(" of it, and what else the page has to say.\n"), "p_container", F.lit(" | N/A | rgb | Picks channels."))
+    return GR.control_triples(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_mfgr").alias("section"), text.alias("text")))
+
+
 def _hop(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "region").select(F.col("r_name").alias("name")).unionByName(table(spark, d, "part").select(F.col("p_brand").alias("name")))
     return GR.neighbours(GR.merge(_triples(spark, d)), names)

@@ -102,10 +102,37 @@ def test_decisions(spark, changed, broke, unsafe, failed, want):
 
 
 def test_control_triples(spark):
-    page = spark.createDataFrame([("Blur", "Control | Knob | Default | Function\nSize | size | 0 | Sets the blur.\nChans | N/A | rgb | Picks the channels.\nTab | tab | | none")], "name string, text string")
+    text = "Control | Knob | Default | Function\nSize | size | 0 | Sets the 2 blurs of it, a b c d e f g.\nChans | N/A | rgb | Picks the channels.\nTab | tab | | none\nSIZE | SIZE | 0 | 12"
+    page = spark.createDataFrame([("Blur", "Filter", text), ("Bare", "Filter", "no table"), (None, "Filter", text), ("Null", None, None)], "name string, section string, text string")
     got = {(r.subject_name, r.predicate, r.object_name) for r in graph.control_triples(page).collect()}
-    assert ("Blur", "HAS_KNOB", "size") in got and ("size", "KNOB_CONTROLS", "Sets the blur.") in got and ("Chans", "AFFECTS_CHANNEL", "channels") in got
-    assert not [t for t in got if "tab" in (t[0], t[2])]
+    assert got == {
+        ("Blur", "BELONGS_TO", "Filter"), ("Blur", "HAS_KNOB", "size"), ("size", "KNOB_CONTROLS", "Sets the blurs of it a b c d"), ("Blur", "HAS_KNOB", "Chans"),
+        ("Chans", "KNOB_CONTROLS", "Picks the channels"), ("Chans", "AFFECTS_CHANNEL", "image channels"), ("SIZE", "KNOB_CONTROLS", "documented behavior"),
+    }
+
+
+def test_gated_upsert_is_sequential(spark):
+    with_checkpoints(spark)
+    rng = random.Random(5)
+    stored = [(i, f"u{i}") for i in range(15)]
+    new = [(i, f"u{rng.randrange(15)}" if i % 4 == 0 else f"u{i}", "" if i % 7 == 0 else None if i % 11 == 0 else "text") for i in range(15, 50)]
+    new = list({u: (i, u, t) for i, u, t in new}.values())
+    pairs = sorted({tuple(sorted(rng.sample(range(50), 2))) for _ in range(70)})
+    holds = {u: i for i, u in stored}
+    want = {}
+    for i, url, text in sorted(new):
+        if not text:
+            want[i] = ("empty", None)
+        elif url in holds:
+            want[i], holds[url] = ("updated", None), i
+        else:
+            hit = [k for k in holds.values() if (k, i) in pairs]
+            want[i] = ("skipped", min(hit)) if hit else ("inserted", None)
+            if not hit:
+                holds[url] = i
+    got = store.gated_upsert(spark.createDataFrame(stored, "doc_id long, url string"), spark.createDataFrame(new, "doc_id long, url string, text string"), spark.createDataFrame(pairs, "a long, b long"))
+    assert {r.doc_id: (r.action, r.canonical) for r in got.collect()} == want
+    assert {a for a, _ in want.values()} == {"empty", "updated", "skipped", "inserted"}
 
 
 def test_regression_is_strict(spark):

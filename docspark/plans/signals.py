@@ -126,9 +126,9 @@ def kg_merge_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_facts(spark: SparkSession, d: str) -> DataFrame:
-    """A page a part with two control rows: its brand's knob, and one named by its container."""
-    text = F.concat(F.lit("Control | Knob | Default | Function\n"), "p_brand", F.lit(" | "), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit(" | 0 | Sets the 2 "), F.lower("p_type"), F.lit(" of it, and what else the page has to say.\n"), "p_container", F.lit(" | N/A | rgb | Picks channels."))
-    return GR.control_triples(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_mfgr").alias("section"), text.alias("text")))
+    """A page a part with two control rows: its brand's knob, and one named by its size."""
+    text = F.concat(F.lit("Control | Knob | Default | Function\n"), "p_brand", F.lit(" | "), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit(" | 0 | Sets the 2 "), F.lower("p_type"), F.lit(" of it, and what else the page has to say.\n"), F.concat(F.lit("Size of "), "p_size"), F.lit(" | N/A | rgb | Picks channels."))
+    return GR.control_triples(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("section"), text.alias("text")))
 
 
 def _hop(spark: SparkSession, d: str) -> DataFrame:
@@ -371,6 +371,14 @@ SQL = {
     "route_decision": f"WITH {_ACTION} SELECT doc_id, CASE WHEN action <> 'BLOCK' THEN 'continue' ELSE 'out_of_scope' END AS route FROM a",
     "guard_parse": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'unsafe' WHEN quality = 1 THEN 'safe' END AS verdict, CASE WHEN toxic = 1 THEN 'S' || (doc_id % 14 + 1) || '|S' || (quality + 1) ELSE '' END AS codes FROM labels",
     "kg_merge_dedup": f"WITH {_TRIPLES} SELECT * FROM g",
+    "table_facts": """WITH p AS (SELECT p_name, p_brand, 'Size of ' || p_size AS label, 'Sets the 2 ' || lower(p_type) || ' of it, and what else the page has to say.' AS what FROM part),
+r AS (SELECT p_name, p_brand, 1 AS pos, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS knob, what FROM p UNION ALL SELECT p_name, p_brand, 2, label, 'Picks channels.' FROM p),
+t AS (SELECT pos, p_name AS subject_name, 'NukeNode' AS subject_type, 'BELONGS_TO' AS predicate, p_brand AS object_name, 'Category' AS object_type FROM r WHERE p_brand <> ''
+  UNION ALL SELECT pos, p_name, 'NukeNode', 'HAS_KNOB', knob, 'Knob' FROM r
+  UNION ALL SELECT pos, knob, 'Knob', 'KNOB_CONTROLS', array_to_string(regexp_extract_all(what, '[A-Za-z][A-Za-z0-9_-]*')[1:9], ' '), 'Operation' FROM r
+  UNION ALL SELECT pos, knob, 'Knob', 'AFFECTS_CHANNEL', 'image channels', 'Channel' FROM r WHERE contains(lower(what), 'channel'))
+SELECT subject_name, subject_type, predicate, object_name, object_type FROM
+  (SELECT *, row_number() OVER (PARTITION BY lower(subject_name), predicate, lower(object_name) ORDER BY pos, subject_name, subject_type, object_name, object_type) AS n FROM t WHERE subject_name <> '') WHERE n = 1""",
     "kg_one_hop": f"WITH {_TRIPLES} SELECT * FROM hop WHERE n <= 10",
     "kg_sentences": f"WITH {_TRIPLES} SELECT name || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || neighbour || '.' AS sentence FROM hop WHERE n <= 10",
     "kg_node_count": f"WITH {_TRIPLES} SELECT count(DISTINCT n) AS nodes FROM (SELECT subject_name AS n FROM g WHERE subject_type = 'NukeNode' UNION ALL SELECT object_name FROM g WHERE object_type = 'NukeNode')",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import ann, bloomlm, chat, langid, minhash, mixing, packing, simhash, tokenfiles, warc
+from docspark.llm import ann, bloomlm, chat, langid, merkle, minhash, mixing, packing, pieces, resample, simhash, tokenfiles, warc
 from docspark.llm.common import materialize, table
 
 
@@ -52,9 +52,23 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op11_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = pieces.model_path()
+    return pieces.digests(pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), path), path))
+
+
+def op13_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rotated_bit_codes": ann.ORACLE, "op2_tool_call_linking": chat.ORACLE, "op3_warc_index": warc.ORACLE, "op9_mixing_tree": mixing.ORACLE}
+    return {"op1_rotated_bit_codes": ann.ORACLE, "op2_tool_call_linking": chat.ORACLE, "op3_warc_index": warc.ORACLE, "op9_mixing_tree": mixing.ORACLE,
+            "op11_radix_resampling": resample.ORACLE, "op13_merkle_versions": merkle.ORACLE}

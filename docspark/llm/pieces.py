@@ -32,9 +32,11 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNKNOWN_SIGN = " ⁇ "
 #: Pairs of tokens and bytes of words that a worker keeps; bits of a pair's slot in the table for many at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 PAIR_BITS = 20
 WORD_BYTES = 96 << 20
+#: Ids decoded at once.
+SLICE_IDS = 1 << 18
 #: Longer words fill their table alone.
 LONG = 200
 NEVER = float("-inf")
@@ -101,19 +103,19 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError(f"{path} has pieces with a space after another character")
         surface = [b"" if k == CONTROL else UNKNOWN_SIGN.encode() if k == UNKNOWN else bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.surface = Cells(surface)
+        self.surface = Cells(surface, "u1")
 
 
 class Cells:
-    """Byte strings by number, gathered many at a time."""
+    """Lists of numbers of one kind, as byte strings by number, gathered many at a time."""
 
-    def __init__(self, cells: list[bytes]):
-        self.n = np.fromiter(map(len, cells), np.int64, len(cells))
+    def __init__(self, cells: list[bytes], kind: str):
+        self.flat = np.frombuffer(b"".join(cells), kind)
+        self.n = np.fromiter(map(len, cells), np.int64, len(cells)) // self.flat.itemsize
         self.starts = np.cumsum(self.n) - self.n
-        self.flat = np.frombuffer(b"".join(cells), np.uint8)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of the cells in turn, and the length of each."""
+        """The numbers of the cells in turn, and how many each has."""
         n = self.n[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -339,8 +341,7 @@ class PieceCodec:
             self.words, self.held = {}, 0
         if new := [w for w in words if w not in self.words]:
             self._learn(new)
-        flat, n = Cells([self.words[w] for w in words]).take(index)
-        return flat.view("<u4"), n >> 2
+        return Cells([self.words[w] for w in words], "<u4").take(index)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and the number of ids of each. A null text counts as empty."""
@@ -439,9 +440,14 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
         own = codec(path)
         for b in batches:
             n = np.asarray(pc.fill_null(pc.list_value_length(b.column(1)), 0), dtype=np.int64)
-            texts = own.decode(np.asarray(b.column(1).flatten()), n)
-            texts = [t if v else None for t, v in zip(texts, b.column(1).is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            ends, i = np.cumsum(n), 0
+            while i < len(n):  # rows of at most so many ids together, or a single row
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + SLICE_IDS, side="right")))
+                some = b.slice(i, j - i)
+                texts = own.decode(np.asarray(some.column(1).flatten()), n[i:j])
+                texts = [t if v else None for t, v in zip(texts, some.column(1).is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                i = j
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

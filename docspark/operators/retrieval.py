@@ -19,7 +19,7 @@ def top_k(df: DataFrame, score: str, k: int, offset: int = 0, ascending: bool =
     return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
-def _few(df: DataFrame, most: int) -> DataFrame:
+def few(df: DataFrame, most: int) -> DataFrame:
     """A side is broadcast only once its size is known to be small."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -33,7 +33,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """doc_id, term, tf; only for the given terms, which are filtered before anything is shuffled."""
     rows = docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
     if terms is not None:
-        rows = rows.join(_few(terms.select("term").distinct(), 1_000_000), "term", "left_semi")
+        rows = rows.join(few(terms.select("term").distinct(), 1_000_000), "term", "left_semi")
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -47,7 +47,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float =
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return (
-        tf.join(_few(terms, 1_000_000), "term").join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+        tf.join(few(terms, 1_000_000), "term").join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
         .groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count(F.lit(1)).cast("long").alias("matched"))
     )
 
@@ -60,7 +60,7 @@ def all_terms_match(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, doc_id of documents with every term of the query."""
     terms = query_terms(queries)
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    have = postings(docs, terms).join(_few(terms, 1_000_000), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("have"))
+    have = postings(docs, terms).join(few(terms, 1_000_000), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("have"))
     return have.join(need, "query_id").where("have = need").select("query_id", "doc_id")
 
 
@@ -123,7 +123,7 @@ def lexical(queries: DataFrame, files: DataFrame, k: int = 6) -> DataFrame:
     tokens = queries.select("query_id", F.explode(T.code_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight"))
     hay = files.select("doc_id", "path", "line", F.lower("path").alias("p"), F.lower(F.concat_ws("\n", "path", "language", "text")).alias("h"))
     distinct = tokens.select("token").distinct()
-    hits = hay.join(_few(distinct, 100_000), F.expr("instr(h, token) > 0")).select("doc_id", "path", "line", "token", F.when(F.expr("instr(p, token) > 0"), 3).otherwise(1).alias("value"))
+    hits = hay.join(few(distinct, 100_000), F.expr("instr(h, token) > 0")).select("doc_id", "path", "line", "token", F.when(F.expr("instr(p, token) > 0"), 3).otherwise(1).alias("value"))
     scored = hits.join(tokens, "token").groupBy("query_id", "doc_id", "path", "line").agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "line", "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -37,3 +37,9 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
             folder = tempfile.mkdtemp(prefix="docspark-checkpoint-")
         context.setCheckpointDir(folder)
     return spark
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that are used several times, written once to the checkpoint folder: a lost executor costs nothing of what made them."""
+    with_checkpoints(rows.sparkSession)
+    return rows.checkpoint()

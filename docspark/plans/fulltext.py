@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from docspark.functions import stems
 from docspark.functions import text as T
 from docspark.operators import fulltext as X
-from docspark.session import table
+from docspark.operators import index
+from docspark.session import shared_folder, table
+from docspark.sources.readers import read_version
 
 #: Field boosts of fuzzy search.
 BOOSTS = {"chunk_text": 3.0, "title": 2.0, "abstract": 1.0}
@@ -67,6 +69,29 @@ def kw_fuzzy_boosted(spark: SparkSession, d: str) -> DataFrame:
     return X.top_k(scores, "score", 10).select("query_id", "doc_id", "score", "field", "rank")
 
 
+def _short_asks(spark: SparkSession, d: str) -> DataFrame:
+    """The second to fourth word of each benchmark text."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.terms(F.col("text")), 2, 3), " ").alias("text"))
+
+
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """An index of all documents is built, and searched through the bounds of its blocks."""
+    folder = shared_folder(spark, "index")
+    index.build(_docs(spark, d), folder, 1)
+    hits, _ = index.search(_short_asks(spark, d), read_version(spark, folder, 1, ["postings"])["postings"])
+    return hits.select("query_id", "doc_id", "score", "rank")
+
+
+def index_probe(spark: SparkSession, d: str) -> DataFrame:
+    """What a probe says of a folder before and after the index is built, and after a second build of the same version."""
+    folder, rows = shared_folder(spark, "index"), []
+    for state in ("none", "built", "built again"):
+        made = state != "none" and index.build(_docs(spark, d), folder, 1)
+        found = index.probe(spark, folder)
+        rows.append((state, made, found["exists"], found["documents"], found["terms"]))
+    return spark.createDataFrame(rows, "state string, made boolean, found boolean, documents long, terms long")
+
+
 def _list(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -163,7 +188,17 @@ s AS (SELECT query_id, doc_id, field, round(boost * sum(weight * ln(1 + (n_docs
 b AS (SELECT query_id, doc_id, score, field FROM s QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, field) = 1)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM b) WHERE rank <= 10"""
 
+_INDEXED = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT term) FROM tok) AS terms)"
 SQL = {
+    "index_topk": """
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[2:4]) AS term FROM benchmark),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents),
+st AS (SELECT count(*) AS n_docs, avg(coalesce(len(ts), 0)) AS avg_dl FROM t),
+h AS (SELECT query_id, term, doc_id, len(ts) AS dl, len(list_filter(ts, lambda x: x = term)) AS tf FROM q JOIN t ON list_contains(ts, term)),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 6) AS score
+  FROM h JOIN (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL) USING (query_id, term), st GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
+    "index_probe": "WITH " + _INDEXED + " SELECT 'none' AS state, false AS made, false AS found, 0::BIGINT AS documents, 0::BIGINT AS terms UNION ALL SELECT 'built', true, true, docs, terms FROM n UNION ALL SELECT 'built again', false, true, docs, terms FROM n",
     "stem_counts": "WITH" + _TOKENS + "," + stems_sql("kept") + " SELECT stem, count(DISTINCT doc_id) AS n_docs, count(*) AS n, count(DISTINCT term) AS n_forms, sum(pos)::BIGINT AS positions FROM kept JOIN stems USING (term) GROUP BY stem",
     "kw_cover_density": "WITH" + _TOKENS + "," + _COVERS + " SELECT query_id, doc_id, score, covers, rank FROM rk WHERE rank <= 10",
     "kw_highlights": "WITH" + _TOKENS + "," + _COVERS + f""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,8 @@ def kept(rows: DataFrame) -> DataFrame:
     """Rows that are used several times, written once to the checkpoint folder: a lost executor costs nothing of what made them."""
     with_checkpoints(rows.sparkSession)
     return rows.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder, which driver and executors share."""
+    return f"{with_checkpoints(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,21 +54,56 @@ def json_lines(spark: SparkSession, folder: str, schema: str, stream: bool = Fal
     return text.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "value").where(F.col("r").isNotNull() & F.col("value").rlike(r"^\s*\{.*\}\s*$")).select("r.*")
 
 
+COMMITS = "version long, tables array<string>"
+
+
+def commit(spark: SparkSession, folder: str, version: int, tables: Sequence[str] = ()) -> None:
+    """The last step of a version: a record of its own file, which makes it one that readers see."""
+    spark.createDataFrame([(version, list(tables))], COMMITS).coalesce(1).write.mode("append").json(f"{folder}/commits")
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The complete versions under a folder, oldest first. A torn record is no commit; a folder without any has no versions."""
+    try:
+        rows = spark.read.schema(COMMITS).json(f"{folder}/commits").where("version is not null").distinct().collect()  # a row a version
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted({r.version for r in rows})
+
+
 def write_snapshot(table: DataFrame, folder: str, version: int) -> str:
     """A new version beside the old ones; never overwrites what a reader may have open. Readers take the newest complete one."""
     path = f"{folder}/v={version}"
     table.write.mode("errorifexists").parquet(path)
+    commit(table.sparkSession, folder, version)
     return path
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the newest complete version: one whose write has left its success marker. None complete is an error."""
-    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/_SUCCESS")
-    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
-    if not found:
-        raise FileNotFoundError(f"no complete version in {folder}")
-    newest = max(int(f.getPath().getParent().getName()[2:]) for f in found)
-    return spark.read.parquet(f"{folder}/v={newest}")
+    """The rows of the newest version that is complete and whose files can be read; none is an error."""
+    for version in reversed(versions(spark, folder)):
+        try:
+            return spark.read.parquet(f"{folder}/v={version}")
+        except PySparkException:  # gone or torn: the one before it
+            continue
+    raise FileNotFoundError(f"no complete version in {folder}")
+
+
+def write_version(tables: Mapping[str, DataFrame], folder: str, version: int) -> bool:
+    """Several tables as one version, each under its name. A complete version is left as it is (False); one that broke off is written anew."""
+    spark = next(iter(tables.values())).sparkSession
+    if version in versions(spark, folder):
+        return False
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder}/v={version}/{name}")
+    commit(spark, folder, version, list(tables))
+    return True
+
+
+def read_version(spark: SparkSession, folder: str, version: int, names: Sequence[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/v={version}/{name}") for name in names}
 
 
 def append_log(rows: DataFrame, folder: str) -> None:

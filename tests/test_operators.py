@@ -250,7 +250,7 @@ def test_snapshot_of_a_failed_write_is_passed_over(spark, tmp_path):
     folder = str(tmp_path / "state")
     with pytest.raises(FileNotFoundError):
         readers.read_snapshot(spark, folder)
-    for version in (2, 10, 11):
+    for version in (2, 10):
         readers.write_snapshot(spark.range(version), folder, version)
-    (tmp_path / "state" / "v=11" / "_SUCCESS").unlink()
+    spark.range(11).write.parquet(f"{folder}/v=11")  # broke off before its commit
     assert readers.read_snapshot(spark, folder).count() == 10

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import fulltext, ingest, replies, retrieval, signals, streams
+from docspark.plans import fulltext, ingest, nested, replies, retrieval, signals, streams
 
-MODULES = [retrieval, fulltext, ingest, signals, replies, streams]
+MODULES = [retrieval, fulltext, nested, ingest, signals, replies, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.text import bound
+
 #: The published stop words of English text search, and the rules of the published algorithm.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these "
@@ -52,12 +54,6 @@ def _by_table(word: Column, table: tuple[tuple[str, str, str], ...], region: dic
     return out.otherwise(word)
 
 
-def _then(value: Column, step: Callable[[Column], Column]) -> Column:
-    """A step over a value that is computed once, however often the step names it: a lambda binds it, also where a filter on the
-    result is pushed down with its whole expression."""
-    return F.get(F.transform(F.array(value), step), F.lit(0))
-
-
 def _ends(word: Column, *some: str) -> Column:
     return word.rlike(f"(?:{'|'.join(some)})$")
 
@@ -105,18 +101,18 @@ def stem(term: Column) -> Column:
     """The stem of a term; a null term has none."""
 
     def over(state: Column, word: Callable[[Column], Column]) -> Column:
-        return _then(state, lambda s: F.struct(word(s).alias("w"), s["r1"].alias("r1"), s["r2"].alias("r2"), s["stop"].alias("stop")))
+        return bound(state, lambda s: F.struct(word(s).alias("w"), s["r1"].alias("r1"), s["r2"].alias("r2"), s["stop"].alias("stop")))
 
     marked = F.regexp_replace(F.regexp_replace(term, "^y", "Y"), "([aeiouy])y", "$1Y")  # such a y is no vowel
-    s = _then(marked, lambda w: F.struct(w.alias("w"), _first_region(w).alias("r1")))
-    s = _then(s, lambda s: F.struct(_no_plural(s["w"]).alias("w"), s["r1"].alias("r1"), _second_region(s["w"], s["r1"]).alias("r2")))
-    s = _then(s, lambda s: F.struct(s["w"].alias("w"), _without_ending(s["w"]).alias("d"), s["r1"].alias("r1"), s["r2"].alias("r2"), F.when(s["w"].isin(*KEPT_AFTER_PLURAL), s["w"]).alias("stop")))
+    s = bound(marked, lambda w: F.struct(w.alias("w"), _first_region(w).alias("r1")))
+    s = bound(s, lambda s: F.struct(_no_plural(s["w"]).alias("w"), s["r1"].alias("r1"), _second_region(s["w"], s["r1"]).alias("r2")))
+    s = bound(s, lambda s: F.struct(s["w"].alias("w"), _without_ending(s["w"]).alias("d"), s["r1"].alias("r1"), s["r2"].alias("r2"), F.when(s["w"].isin(*KEPT_AFTER_PLURAL), s["w"]).alias("stop")))
     s = over(s, lambda s: F.when(s["d"].isNull(), _eed(s["w"], s["r1"])).otherwise(_mended(s["d"], s["r1"])))
     s = over(s, lambda s: F.when(s["w"].rlike("..*[^aeiouy][yY]$"), _cut(s["w"], 1, "i")).otherwise(s["w"]))
     s = over(s, lambda s: _by_table(s["w"], STEP_2, {}, s["r1"]))
     s = over(s, lambda s: _by_table(s["w"], STEP_3, {"ative": s["r2"]}, s["r1"]))
     s = over(s, lambda s: _by_table(s["w"], STEP_4, {}, s["r2"]))
-    own = _then(s, lambda s: F.lower(F.coalesce(s["stop"], _last_letter(s["w"], s["r1"], s["r2"]))))
+    own = bound(s, lambda s: F.lower(F.coalesce(s["stop"], _last_letter(s["w"], s["r1"], s["r2"]))))
     special = F.create_map(*[F.lit(x) for pair in SPECIAL.items() for x in pair])
     return F.when((F.length(term) <= 2) | term.isin(*KEPT), term).otherwise(F.coalesce(special[term], own))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ TERM = "([a-z0-9]+)"
 CODE_TOKEN = r"([a-z0-9_./-]{2,})"
 
 
+def bound(value: Column, step: Callable[[Column], Column]) -> Column:
+    """A step over a value that is computed once, however often the step names it: a lambda binds it, also where a filter on the
+    result is pushed down with its whole expression."""
+    return F.get(F.transform(F.array(value), step), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space."""
     return F.regexp_extract_all(text, F.lit(WORD), 1)

@@ -25,8 +25,8 @@ def merge(triples: DataFrame) -> DataFrame:
 
 
 def dedup_case(triples: DataFrame, order: list[str]) -> DataFrame:
-    """One of each triple by names in lower case, the first spelling."""
-    key = Window.partitionBy(F.lower("subject_name"), "predicate", F.lower("object_name")).orderBy(*order)
+    """One of each triple, the first spelling: names are compared in lower case, types and predicate as they are."""
+    key = Window.partitionBy(F.lower("subject_name"), "subject_type", "predicate", F.lower("object_name"), "object_type").orderBy(*order)
     return triples.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
 
 

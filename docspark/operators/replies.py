@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docspark.functions import text as T
+
 REPLY = "struct<answer:string,sources:array<string>,confidence:string,citations:array<string>>"
 
 #: The terms that a failed query rewrite appends, and the message of an unreadable verdict.
@@ -72,20 +74,32 @@ def first_artifact(raw: Column) -> Column:
     return F.struct(state.alias("state"), F.when(state == "completed", F.try_element_at(texts, F.lit(1))["text"]).alias("text"))
 
 
-_HOST = r"(?i)^(?:https?://)?(?:www\.)?github\.com/([^/\s]+)/([^/\s]+?)(?:\.git)?/?(?:[#?].*)?$"
-_SSH = r"(?i)^git@github\.com:([^/\s]+)/([^/\s]+?)(?:\.git)?$"
+def _owner_and_name(path: Column) -> Column:
+    """owner/name of a path of just these two parts, without `.git` and one slash at the end; else null."""
+    parts = T.bound(F.split(F.regexp_replace(path, "/$", ""), "/"), lambda p: F.when(F.size(p) == 2, F.struct(p[0].alias("owner"), F.regexp_replace(p[1], r"(?i)(?<=.)\.git$", "").alias("name"))))
+    return T.bound(parts, lambda p: F.when((p["owner"] != "") & (p["name"] != "") & ~F.concat(p["owner"], p["name"]).rlike(r"\s"), F.concat(p["owner"], F.lit("/"), p["name"])))
+
+
+def repository(raw: Column, host: str = "github.com") -> Column:
+    """owner/name of a repository reference (web address, SSH address or the short form); null for others.
+
+    A web address loses its scheme, `www.`, query and fragment, and has to name the host; an SSH address starts with the host's user.
+    The short form is all else that has two parts.
+    """
+    user, schemes = f"git@{host}:", ("https://", "http://")
 
+    def path(c: Column) -> Column:
+        """What stands behind the user or the host; null for other texts."""
+        bare = c
+        for scheme in schemes:
+            bare = F.when(F.lower(c).startswith(scheme), F.substring(c, F.lit(len(scheme) + 1), F.length(c))).otherwise(bare)
+        rest = T.bound(bare, lambda b: F.when(F.lower(F.substring_index(b, "/", 1)).isin(host, f"www.{host}"), F.substring(b, F.length(F.substring_index(b, "/", 1)) + 2, F.length(b))))
+        return F.when(F.lower(c).startswith(user), F.substring(c, F.lit(len(user) + 1), F.length(c))).otherwise(F.substring_index(F.substring_index(rest, "#", 1), "?", 1))
 
-def repository(raw: Column) -> Column:
-    """owner/name of a repository reference (web address, SSH address or the short form); null for others."""
-    c = F.trim(raw)
-    short = F.split(c, "/")
-    name = F.regexp_replace(F.trim(short[1]), r"\.git$", "")
-    plain = (F.size(short) == 2) & (F.trim(short[0]) != "") & (F.trim(short[1]) != "") & ~c.contains(" ")
-    out = F.when(plain, F.concat(F.trim(short[0]), F.lit("/"), name))
-    for pattern in (_SSH, _HOST):
-        out = F.when(c.rlike(pattern), F.concat(F.regexp_extract(c, pattern, 1), F.lit("/"), F.regexp_extract(c, pattern, 2))).otherwise(out)
-    return out
+    def short(c: Column) -> Column:
+        return F.when(~c.contains(" ") & (F.size(F.split(c, "/")) == 2) & ~F.lower(c).startswith(user), _owner_and_name(c))
+
+    return T.bound(F.trim(raw), lambda c: F.coalesce(_owner_and_name(path(c)), short(c)))
 
 
 def cache_slug(repo: Column, sha: Column) -> Column:
@@ -97,10 +111,14 @@ def fragment(text: Column, words: int = 8) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9_-]*)"), 1), 1, words), " ")
 
 
+#: What an input is called without a name of its own.
+IMAGE_INPUT, UNNAMED_INPUT = "image input", "unnamed input"
+
+
 def input_name(connection: Column, description: Column) -> Column:
     """What a node's input is called: its connection, else what the description says."""
     name, some = F.trim(connection), fragment(description, 4)
-    return F.when(F.lower(name) != "unnamed", F.concat(name, F.lit(" input"))).when(F.lower(description).contains("image"), "image input").when(some != "", F.concat(some, F.lit(" input"))).otherwise("unnamed input")
+    return F.when(F.lower(name) != "unnamed", F.concat(name, F.lit(" input"))).when(F.lower(description).contains("image"), IMAGE_INPUT).when(some != "", F.concat(some, F.lit(" input"))).otherwise(UNNAMED_INPUT)
 
 
 def between(text: Column, start: str, stops: list[str]) -> Column:

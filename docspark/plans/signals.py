@@ -378,7 +378,7 @@ t AS (SELECT pos, p_name AS subject_name, 'NukeNode' AS subject_type, 'BELONGS_T
   UNION ALL SELECT pos, knob, 'Knob', 'KNOB_CONTROLS', array_to_string(regexp_extract_all(what, '[A-Za-z][A-Za-z0-9_-]*')[1:9], ' '), 'Operation' FROM r
   UNION ALL SELECT pos, knob, 'Knob', 'AFFECTS_CHANNEL', 'image channels', 'Channel' FROM r WHERE contains(lower(what), 'channel'))
 SELECT subject_name, subject_type, predicate, object_name, object_type FROM
-  (SELECT *, row_number() OVER (PARTITION BY lower(subject_name), predicate, lower(object_name) ORDER BY pos, subject_name, subject_type, object_name, object_type) AS n FROM t WHERE subject_name <> '') WHERE n = 1""",
+  (SELECT *, row_number() OVER (PARTITION BY lower(subject_name), subject_type, predicate, lower(object_name), object_type ORDER BY pos, subject_name, subject_type, object_name, object_type) AS n FROM t WHERE subject_name <> '') WHERE n = 1""",
     "kg_one_hop": f"WITH {_TRIPLES} SELECT * FROM hop WHERE n <= 10",
     "kg_sentences": f"WITH {_TRIPLES} SELECT name || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || neighbour || '.' AS sentence FROM hop WHERE n <= 10",
     "kg_node_count": f"WITH {_TRIPLES} SELECT count(DISTINCT n) AS nodes FROM (SELECT subject_name AS n FROM g WHERE subject_type = 'NukeNode' UNION ALL SELECT object_name FROM g WHERE object_type = 'NukeNode')",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     for version in reversed(versions(spark, folder)):
         try:
             return spark.read.parquet(f"{folder}/v={version}")
-        except PySparkException:  # gone or torn: the one before it
+        except (PySparkException, Py4JError):  # gone or torn: the one before it
             continue
     raise FileNotFoundError(f"no complete version in {folder}")
 

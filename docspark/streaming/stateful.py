@@ -118,3 +118,8 @@ def streaming(events: DataFrame, key: str, order: list[str], fields: list[str],
         yield pd.DataFrame(rows, columns=[*names, *said])
 
     return events.groupBy(key).applyInPandasWithState(run, f"{shape}, {out}", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def dropped_late(progress: list) -> int:
+    """Rows that a stream's watermark has dropped, from all its progress reports."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.operators.replies import fragment
+from docspark.functions import text as T
+from docspark.operators.replies import between, fragment, input_name
 
 #: Node labels, predicates and the words that hint at relations.
 ENTITY_TYPES = ("NukeNode", "Knob", "InputType", "OutputType", "Category", "Operation", "Channel", "SupportedValue")
@@ -82,3 +83,34 @@ def control_triples(pages: DataFrame) -> DataFrame:
         triple(F.col("name"), "NukeNode", "HAS_KNOB", F.col("knob"), "Knob"), triple(F.col("knob"), "Knob", "KNOB_CONTROLS", operation, "Operation"),
         F.when(F.lower("what").contains("channel"), triple(F.col("knob"), "Knob", "AFFECTS_CHANNEL", F.lit("image channels"), "Channel"))))
     return dedup_case(rows.select("pos", F.explode(made).alias("t")).select("pos", "t.*"), ["pos", *COLUMNS]).drop("pos")
+
+
+#: The heading of a page's table of inputs, what ends the table, the words that a description opens with, and names that are no input.
+INPUT_HEADING = r"Inputs and Controls\s+Connection Type\s+Connection Name\s+Function"
+INPUT_ENDS = [r"Control \(UI\)", r"Can't find what you're looking for\?", r"Nuke \d"]
+OPENERS = ("The", "An", "A", "By default", "Optional", "Required", "This", "If", "When")
+NO_INPUTS = ("function", "input", "output")
+#: Most characters of a connection's name.
+NAME = "[A-Za-z][A-Za-z0-9_ -]{0,40}?"
+
+
+def input_triples(pages: DataFrame) -> DataFrame:
+    """ACCEPTS_INPUT triples of the rows in a page's table of inputs; pages: name, text.
+
+    A row begins where the table or a sentence does: with `Input`, a name and a description, or with a name of one word and a
+    description. A labelled row's description goes up to the next `Input` or `Output`, another one's up to whatever could be a row.
+    What an input is called is told by its name, or by its description where it is unnamed. Each triple stands once.
+    """
+    opener = f"(?:{'|'.join(OPENERS)})\\b"
+    table = F.regexp_replace(between(F.col("text"), INPUT_HEADING, INPUT_ENDS), r"\s+", " ")
+    rows = pages.select("name", F.split(table, r"(?<=\.) ").alias("parts")).select("name", "parts", F.posexplode("parts").alias("pos", "part"))
+    # a row's text goes on over the sentences behind it
+    rest = F.array_join(F.slice("parts", F.col("pos") + 1, F.size("parts")), " ")
+    labelled = f"(?i)^Input ({NAME}) {opener}"
+    single = f"(?i)^([A-Za-z_][A-Za-z0-9_]*) {opener}"
+    first = T.bound(F.regexp_extract("part", labelled, 1), lambda n: F.struct(n.alias("name"), F.regexp_extract(rest, f"(?i)^Input {NAME} ({opener}.*?)(?= Input | Output |$)", 1).alias("says")))
+    other = T.bound(F.regexp_extract("part", single, 1), lambda n: F.struct(n.alias("name"), F.regexp_extract(rest, f"(?i)^[A-Za-z_][A-Za-z0-9_]* ({opener}.*?)(?= {NAME} {opener}|$)", 1).alias("says")))
+    found = rows.select("name", "pos", F.when(F.col("part").rlike(labelled), first).when(F.col("part").rlike(single), other).alias("row"))
+    found = found.where((F.col("name") != "") & F.col("row").isNotNull() & ~F.lower("row.name").isin(*NO_INPUTS))
+    triples = found.select("pos", F.col("name").alias("subject_name"), F.lit("NukeNode").alias("subject_type"), F.lit("ACCEPTS_INPUT").alias("predicate"), input_name(F.col("row.name"), F.col("row.says")).alias("object_name"), F.lit("InputType").alias("object_type"))
+    return dedup_case(triples, ["pos", *COLUMNS]).drop("pos")

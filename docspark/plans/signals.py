@@ -131,6 +131,15 @@ def table_facts(spark: SparkSession, d: str) -> DataFrame:
     return GR.control_triples(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("section"), text.alias("text")))
 
 
+def input_facts(spark: SparkSession, d: str) -> DataFrame:
+    """A page a part with a table of four inputs: labelled ones, an unnamed one, and one of a single word; its type is the last one's description."""
+    head = F.lit("Text. Inputs and Controls  Connection Type Connection Name Function ")
+    rows = [F.concat(F.lit("Input "), F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" The source of it. It may be long. ")), F.concat(F.lit("Input unnamed The "), F.lower("p_type"), F.lit(" stream. ")),
+            F.lit("Input Unnamed An image to use. Output out The result. "), F.lit("mask Optional matte. mask The same again. "), F.lit("Control (UI) nothing The end.")]
+    pages = table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(head, *rows).alias("text"))
+    return GR.input_triples(pages.withColumn("text", F.when(F.length("name") % 5 == 0, F.lit("no table")).otherwise(F.col("text"))))
+
+
 def _hop(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "region").select(F.col("r_name").alias("name")).unionByName(table(spark, d, "part").select(F.col("p_brand").alias("name")))
     return GR.neighbours(GR.merge(_triples(spark, d)), names)
@@ -371,6 +380,9 @@ SQL = {
     "route_decision": f"WITH {_ACTION} SELECT doc_id, CASE WHEN action <> 'BLOCK' THEN 'continue' ELSE 'out_of_scope' END AS route FROM a",
     "guard_parse": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'unsafe' WHEN quality = 1 THEN 'safe' END AS verdict, CASE WHEN toxic = 1 THEN 'S' || (doc_id % 14 + 1) || '|S' || (quality + 1) ELSE '' END AS codes FROM labels",
     "kg_merge_dedup": f"WITH {_TRIPLES} SELECT * FROM g",
+    "input_facts": """WITH p AS (SELECT DISTINCT p_name, regexp_replace(p_brand, '[# ]+', ' ', 'g') AS brand, 'The ' || lower(p_type) || ' stream' AS says FROM part WHERE length(p_name) % 5 <> 0 AND p_name <> ''),
+o AS (SELECT p_name, brand || ' input' AS object_name FROM p UNION ALL SELECT p_name, array_to_string(list_filter(string_split(says, ' '), lambda w: w <> '')[1:4], ' ') || ' input' FROM p UNION ALL SELECT p_name, unnest(['image input', 'mask input']) FROM p)
+SELECT p_name AS subject_name, 'NukeNode' AS subject_type, 'ACCEPTS_INPUT' AS predicate, min(object_name) AS object_name, 'InputType' AS object_type FROM o GROUP BY p_name, lower(object_name)""",
     "table_facts": """WITH p AS (SELECT p_name, p_brand, 'Size of ' || p_size AS label, 'Sets the 2 ' || lower(p_type) || ' of it, and what else the page has to say.' AS what FROM part),
 r AS (SELECT p_name, p_brand, 1 AS pos, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS knob, what FROM p UNION ALL SELECT p_name, p_brand, 2, label, 'Picks channels.' FROM p),
 t AS (SELECT pos, p_name AS subject_name, 'NukeNode' AS subject_type, 'BELONGS_TO' AS predicate, p_brand AS object_name, 'Category' AS object_type FROM r WHERE p_brand <> ''

@@ -69,3 +69,16 @@ def test_triples_of_other_types_stay(spark):
     rows = spark.createDataFrame([("Blur", "NukeNode", "HAS_KNOB", "size", "Knob"), ("blur", "NukeNode", "HAS_KNOB", "Size", "Knob"), ("blur", "Operation", "HAS_KNOB", "size", "Knob"), ("Blur", "NukeNode", "HAS_KNOB", "size", "Channel")], ", ".join(f"{c} string" for c in graph.COLUMNS))
     got = {tuple(r) for r in graph.dedup_case(rows, graph.COLUMNS).select(*graph.COLUMNS).collect()}
     assert got == {("Blur", "NukeNode", "HAS_KNOB", "size", "Knob"), ("blur", "Operation", "HAS_KNOB", "size", "Knob"), ("Blur", "NukeNode", "HAS_KNOB", "size", "Channel")}
+
+
+def test_input_rows(spark):
+    head = "x. Inputs and Controls Connection Type Connection Name Function "
+    texts = {
+        "Blur": head + "Input img The picture. Input B If given, it is used. Output out The end. mask Optional matte. Nuke 13 Input no The more.",
+        "Merge": head + "Input unnamed The layer below all others. Input Unnamed A second image. Input The rest. function The name of it.",
+        "Twice": head + "Input A The one.  Input a The other. Mid sentence, Input Q The not a row. more words here and When it ends",
+        "None": "Input a The row outside of a table.",
+        "": head + "Input a The row of no page.",
+    }
+    got = {(r.subject_name, r.object_name) for r in graph.input_triples(spark.createDataFrame([*texts.items(), ("Null", None)], "name string, text string")).collect()}
+    assert got == {("Blur", "img input"), ("Blur", "B input"), ("Blur", "mask input"), ("Merge", "The layer below all input"), ("Merge", "image input"), ("Twice", "A input")}

@@ -254,3 +254,15 @@ def test_snapshot_of_a_failed_write_is_passed_over(spark, tmp_path):
         readers.write_snapshot(spark.range(version), folder, version)
     spark.range(11).write.parquet(f"{folder}/v=11")  # broke off before its commit
     assert readers.read_snapshot(spark, folder).count() == 10
+
+
+def test_helpers_of_text_caches_and_tables(spark, tmp_path):
+    from docspark.operators import caches
+
+    rows = spark.createDataFrame([(1, " a, b,,c ", "123e4567-e89b-12d3-a456-426614174000", 2, ["x"]), (2, "", "no", 0, ["x"]), (3, None, None, 1, [])], "i long, csv string, id string, used int, sources array<string>")
+    got = {r.i: (r.csv, r.uuid, r.cacheable) for r in rows.select("i", T.csv_list(F.col("csv")).alias("csv"), T.is_uuid(F.col("id")).alias("uuid"), caches.cacheable(F.col("used"), F.col("sources")).alias("cacheable")).collect()}
+    assert got == {1: (["a", "b", "c"], True, True), 2: ([], False, False), 3: (None, None, False)}
+    folder = str(tmp_path / "log")
+    for n in (2, 3):
+        readers.append_log(spark.range(n).coalesce(1), folder)
+    assert tuple(store.table_stats(spark, folder).first()) == (5, 2)

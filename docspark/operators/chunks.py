@@ -69,7 +69,7 @@ def batches(docs: DataFrame, ident: str = "doc_id", most: int = 4) -> DataFrame:
 
 
 def _line_chunks(text: str, most: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    lines = text.split("\n")
+    lines = text.splitlines()  # at every kind of line end
     start = 0
     while start < len(lines):
         end, size = start, 0

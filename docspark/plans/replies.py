@@ -121,7 +121,7 @@ def repo_reference(spark: SparkSession, d: str) -> DataFrame:
 def domain_list(spark: SparkSession, d: str) -> DataFrame:
     """Distinct hosts of the pages by first letter of their title, given in mixed case and with blanks."""
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    rows = _pages(spark, d).select((F.col("page_id") % 7).alias("list_id"), F.explode(F.array(F.concat(F.lit(" "), F.upper(host)), host, F.lit(" "))).alias("x")).groupBy("list_id").agg(F.collect_list("x").alias("xs"))
+    rows = _pages(spark, d).select((F.col("page_id") % 7).alias("list_id"), F.explode(F.array(F.concat(F.lit(" "), F.upper(host)), host, F.lit(" "))).alias("x")).groupBy("list_id").agg(F.collect_set("x").alias("xs"))
     clean = F.array_sort(F.array_distinct(F.filter(F.transform("xs", lambda x: F.lower(F.trim(x))), lambda x: x != "")))
     return rows.select("list_id", F.array_join(clean, ",").alias("domains"))
 

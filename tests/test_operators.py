@@ -266,3 +266,8 @@ def test_helpers_of_text_caches_and_tables(spark, tmp_path):
     for n in (2, 3):
         readers.append_log(spark.range(n).coalesce(1), folder)
     assert tuple(store.table_stats(spark, folder).first()) == (5, 2)
+
+
+def test_line_chunks_end_lines_as_splitlines_does(spark):
+    rows = chunks.line_chunks(spark.createDataFrame([(1, "one\r\ntwo\x0bthree\u2028four\rfive")], "doc_id long, text string"), most=1, overlap=0).orderBy("start_line").collect()
+    assert [(r.start_line, r.end_line, r.text) for r in rows] == [(i, i, t) for i, t in enumerate(["one", "two", "three", "four", "five"], 1)]

@@ -26,16 +26,16 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls (conv_id, turn, pos, call_id, name, arguments) and results (conv_id, turn, call_id, content) of messages.
 
     Messages: conv_id, turn, role, text. An assistant's text may be {"tool_calls": [{"id", "name", "arguments"}]}, with the
-    arguments as an object or as a string that holds one; a tool's {"tool_call_id", "content"}. Equal rows count once.
+    arguments as an object or as a string that holds one; a tool's {"tool_call_id", "content"}, either of which may lack.
     """
-    rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("text").cast("string")).distinct()
+    rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("text").cast("string"))
     said = rows.where("role = 'assistant'").select("conv_id", "turn", F.from_json("text", CALLS)["tool_calls"].alias("c"))
     calls = said.select("conv_id", "turn", F.posexplode("c").alias("pos", "call"))
     raw = F.col("call.arguments")
     as_object = F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(raw.cast("string"))).otherwise(raw)
     calls = calls.select("conv_id", "turn", "pos", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), as_object.alias("arguments"))
     got = rows.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", RESULT).alias("r"))
-    return calls, got.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content")).where("call_id is not null")
+    return calls, got.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content")).where("call_id is not null or content is not null")
 
 
 def _kind(value: Column) -> Column:
@@ -118,23 +118,28 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -
     """One row a call, and one a result without a call.
 
     conv_id, turn, call_id, name, level, result_turn, status, errors, arguments_json, record.
-    status: linked; no_result; duplicate (an identifier's later calls); no_id (null identifier or conversation); orphan_result.
-    Of several results the first counts. (level, turn, pos) is a topological order inside a conversation; level is null in
-    cycles and for all but an identifier's first call. Null or malformed texts give neither calls nor results; columns other than the four of a message
-    are not read; an empty table gives an empty result.
+    status: linked; no_result; duplicate (an identifier's later calls); no_id (calls and results with a null identifier or
+    conversation); orphan_result. Calls equal in all, place included, count once, results too. An identifier's first call is
+    that of the lowest (turn, pos, name), then of the lowest SHA-256 of its arguments; of several results the first by turn,
+    then by content, counts. (level, turn, pos) is a topological order inside a conversation; level is null in cycles and
+    for all but an identifier's first call. Null or malformed texts and roles other than assistant and tool give neither
+    calls nor results; columns other than the four of a message are not read; an empty table gives an empty result.
     """
     calls, results = parse(messages)
     calls = with_specs(calls.withColumn("arguments_json", F.to_json("arguments")), schemas).withColumn("errors", errors(F.col("spec"), F.col("arguments")))
-    calls = materialize(calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments_json", "errors"), "chat-calls")
+    calls = materialize(calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments_json", "errors").distinct(), "chat-calls")
     named = calls.where("conv_id is not null and call_id is not null")
-    firsts = named.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos")).alias("first"))
+    rank = F.struct("turn", "pos", "name", F.sha2("arguments_json", 256).alias("digest"))
+    firsts = named.groupBy("conv_id", "call_id").agg(F.min(rank).alias("first"))
     keys = ["conv_id", "call_id"]
     known = firsts.select(*keys)
-    placed = named.join(firsts, keys).withColumn("is_first", F.struct("turn", "pos") == F.col("first"))
+    placed = named.join(firsts, keys).withColumn("is_first", rank == F.col("first"))
     arcs = placed.where("is_first").select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("arguments_json", F.lit(REFERENCE), 1))).alias("dep"))
     arcs = materialize(arcs.join(known.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").select(*keys, "dep"), "chat-arcs")
     level = levels(known, arcs)
-    answers = results.groupBy("conv_id", "call_id").agg(F.min_by(F.struct(F.col("turn"), F.to_json("content").alias("content")), F.struct(F.col("turn"), F.to_json("content"))).alias("r"))
+    whole = F.struct(F.col("turn"), F.to_json("content").alias("content"))
+    loose = results.where("conv_id is null or call_id is null").select("conv_id", "call_id", whole.alias("r"), F.lit("no_id").alias("status")).distinct()
+    answers = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(whole).alias("r"))
     linked = (
         placed.join(level, keys, "left")
         .hint("shuffle_hash")
@@ -144,8 +149,8 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -
     )
     nameless = calls.where("conv_id is null or call_id is null").select("*", F.lit("no_id").alias("status"))
     orphans = answers.join(known, keys, "left_anti").withColumn("status", F.lit("orphan_result"))
-    both = linked.unionByName(nameless, allowMissingColumns=True).unionByName(orphans, allowMissingColumns=True)
-    answer = F.when(F.col("status").isin("linked", "orphan_result"), F.col("r"))
+    both = linked.unionByName(nameless, allowMissingColumns=True).unionByName(orphans, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
+    answer = F.when(F.col("status").isin("linked", "orphan_result", "no_id"), F.col("r"))
     # fields in order of their names; the argument and result texts are canonical already
     record = F.to_json(F.struct(
         F.try_parse_json("arguments_json").alias("arguments"), F.col("conv_id").alias("conversation"), F.col("errors").alias("errors"), F.col("call_id").alias("id"), F.col("level").alias("level"),
@@ -164,38 +169,43 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """Plain conversations as tool messages: an assistant's turn becomes a call with its whole text as the query, which refers
-    to the call at half its turn; a user's turn is the result of the call one turn before it."""
-    c = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").where("conv_id is not null and turn is not null and text is not null")
+    to the call at half its turn; a user's turn is the result of the call one turn before it. Other roles keep their texts.
+    A null conversation or turn gives no identifier, a null text no query or content."""
+    c = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     half = F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.floor(F.col("turn") / 2))
     pick = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
     name = F.when(pick == 0, "search").when(pick == 1, "lookup").when(pick == 2, "summarise").otherwise("browse")
-    arguments = F.struct(F.col("text").alias("query"), (F.col("turn") + 1).alias("limit"), F.when(F.col("turn") > 0, F.struct(half.alias("$ref"))).alias("after"))
+    arguments = F.struct(F.col("text").alias("query"), (F.col("turn") + 1).alias("limit"), F.when((F.col("turn") > 0) & half.isNotNull(), F.struct(half.alias("$ref"))).alias("after"))
     call = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("turn")).alias("id"), name.alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
     result = F.to_json(F.struct(F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
-    text = F.when(F.col("role") == "assistant", call).when(F.col("role") == "user", result)
-    return c.select("conv_id", "turn", F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"), text.alias("text")).where("text is not null")
+    text = F.when(F.col("role") == "assistant", call).when(F.col("role") == "user", result).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"), text.alias("text"))
 
 
 #: The same over `conversations`; JSON strings of both engines agree on what these texts hold.
 ORACLE = """
-WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
-c AS (SELECT conv_id, min(turn) AS turn, 'call_' || conv_id || '_' || turn AS call_id, text,
+WITH RECURSIVE calls AS (SELECT DISTINCT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, text IS NULL AS no_text,
   CASE (conv_id + turn) % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'summarise' ELSE 'browse' END AS name,
-  CASE WHEN turn > 0 THEN '{"after":{"$ref":"call_' || conv_id || '_' || (turn // 2) || '"},"limit":' || (turn + 1) || ',"query":' || to_json(text)::VARCHAR || '}'
-    ELSE '{"limit":' || (turn + 1) || ',"query":' || to_json(text)::VARCHAR || '}' END AS arguments_json
-  FROM m WHERE role = 'assistant' GROUP BY ALL),
-l AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn // 2 AND c.turn > 0)
-  UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM c JOIN l ON c.conv_id = l.conv_id AND c.turn // 2 = l.turn AND c.turn > 0 AND c.turn <> l.turn),
-r AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, to_json(text)::VARCHAR AS content FROM m WHERE role = 'user'),
-j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, c.turn, coalesce(c.call_id, r.call_id) AS call_id, c.name, l.level, r.turn AS result_turn,
-  CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-  CASE c.name WHEN 'search' THEN '' WHEN 'lookup' THEN 'type:limit' WHEN 'summarise' THEN CASE WHEN c.turn > 0 THEN 'missing:words,unexpected:after' ELSE 'missing:words' END
-    WHEN 'browse' THEN 'unknown tool' END AS errors, c.arguments_json, r.content
-  FROM c LEFT JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+  '{' || concat_ws(',', CASE WHEN turn > 0 THEN '"after":{"$ref":"call_' || conv_id || '_' || (turn // 2) || '"}' END, '"limit":' || (turn + 1),
+    CASE WHEN text IS NOT NULL THEN '"query":' || to_json(text)::VARCHAR END) || '}' AS arguments_json
+  FROM conversations WHERE role = 'assistant'),
+c AS (SELECT *, CASE WHEN call_id IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, call_id ORDER BY sha256(arguments_json)) END AS place FROM calls),
+l AS (SELECT conv_id, turn, 0 AS level FROM c WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn // 2 AND c.turn > 0)
+  UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM c JOIN l ON c.place = 1 AND c.conv_id = l.conv_id AND c.turn // 2 = l.turn AND c.turn > 0 AND c.turn <> l.turn),
+results AS (SELECT DISTINCT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, CASE WHEN text IS NOT NULL THEN to_json(text)::VARCHAR END AS content
+  FROM conversations WHERE role = 'user'),
+r AS (SELECT * FROM results WHERE call_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, content NULLS FIRST) = 1),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, c.turn, coalesce(c.call_id, r.call_id) AS call_id, c.name, CASE WHEN place = 1 THEN l.level END AS level,
+  CASE WHEN place > 1 THEN NULL ELSE r.turn END AS result_turn,
+  CASE WHEN c.name IS NULL THEN 'orphan_result' WHEN c.call_id IS NULL THEN 'no_id' WHEN place > 1 THEN 'duplicate' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+  CASE WHEN c.name = 'browse' THEN 'unknown tool' WHEN c.name IS NOT NULL THEN concat_ws(',', CASE WHEN no_text THEN 'missing:query' END,
+    CASE c.name WHEN 'lookup' THEN 'type:limit' WHEN 'summarise' THEN 'missing:words' END, CASE WHEN c.name = 'summarise' AND c.turn > 0 THEN 'unexpected:after' END) END AS errors,
+  c.arguments_json, CASE WHEN place > 1 THEN NULL ELSE r.content END AS content
+  FROM c LEFT JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+  UNION ALL SELECT conv_id, NULL, NULL, NULL, NULL, turn, 'no_id', NULL, NULL, content FROM results WHERE call_id IS NULL AND content IS NOT NULL)
 SELECT conv_id, turn, call_id, name, level, result_turn, status, errors, arguments_json,
-  '{' || coalesce('"arguments":' || arguments_json || ',', '') || '"conversation":' || conv_id || ','
-  || coalesce('"errors":[' || CASE WHEN errors = '' THEN '' ELSE '"' || replace(errors, ',', '","') || '"' END || '],', '')
-  || '"id":"' || call_id || '"' || coalesce(',"level":' || level, '') || coalesce(',"name":"' || name || '"', '')
-  || coalesce(',"result":' || content, '') || ',"status":"' || status || '"' || coalesce(',"turn":' || turn, '') || '}' AS record
+  '{' || concat_ws(',', '"arguments":' || arguments_json, '"conversation":' || conv_id,
+  '"errors":[' || CASE WHEN errors = '' THEN '' ELSE '"' || replace(errors, ',', '","') || '"' END || ']',
+  '"id":"' || call_id || '"', '"level":' || level, '"name":"' || name || '"', '"result":' || content, '"status":"' || status || '"', '"turn":' || turn) || '}' AS record
 FROM j
 """

@@ -295,14 +295,16 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Near-duplicates are decided by row here, so different texts under one doc_id, or under none, are documents of their own.
     Rows without words link with nothing: of those with equal doc_id and text one stays, of those with a null doc_id all.
+    The documents travel as one struct, so columns of any names keep their values.
     """
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-rows")
-    report = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent)
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "minhash-rows")
+    doc_id, text = F.col("_doc.doc_id"), F.col("_doc.text")
+    report = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), text.alias("text")), percent)
     linked = report.select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
-    whole = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    whole = F.sha2(F.to_json("_doc"), 256)
     # a group is a component; without words, a doc_id and text; else the row itself
-    wordless = F.when(F.col("doc_id").isNull(), F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
-    ranked = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), whole.alias("w"), F.col("_row").alias("r")).alias("_rank"), wordless.alias("_own"))
+    wordless = F.when(doc_id.isNull(), F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.sha2(F.to_json(F.struct(doc_id.alias("doc_id"), text.alias("text"))), 256))
+    ranked = keyed.select("_row", F.struct(doc_id.isNull().alias("n"), doc_id.alias("i"), whole.alias("w"), F.col("_row").alias("r")).alias("_rank"), wordless.alias("_own"))
     groups = ranked.join(linked, "_row").withColumn("_own", F.when(F.col("_group").isNull(), F.col("_own")))
     kept = groups.groupBy("_group", "_own").agg(F.min("_rank").alias("_first")).select(F.col("_first.r").alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    return keyed.join(kept, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`") for c in docs.columns])

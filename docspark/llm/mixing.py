@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every source's documents are put in a pseudo-random order (md5 of seed and doc_id) and cut into blocks of words. A tree over
+Every source's documents are put in a pseudo-random order (md5 of seed, doc_id and text) and cut into blocks of words. A tree over
 the output shards splits the exact block quotas of all sources at once: a node draws its left child's blocks from the
 multivariate hypergeometric law, so every shard gets whole blocks, quotas add up exactly, and shards stay mixed. Each
 leaf walks its own path with random numbers seeded by the node, so leaves need no communication and may be redone anywhere.
@@ -30,9 +30,11 @@ WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
 def word_sizes(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """row (tells repeated rows apart), doc_id, source, size (words of the whole text; null text: 0)."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
+    """row (tells repeated rows apart), doc_id, source, size (words of the whole text; null text: 0), digest (md5 of the text; null: empty)."""
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), digest.alias("digest"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -64,15 +66,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def permuted(sizes: DataFrame, seed: int) -> DataFrame:
-    """Adds `first`: words of the source before the document in its random order. Two-level running sums; equal ids keep apart by size."""
+    """Adds `first`: words of the source before the document in its random order. Two-level running sums.
+
+    The order is by id and text, so texts under one doc_id, or under none, are spread like any others; rows equal in both
+    have one size and stand next to each other.
+    """
     digits = max(3, math.ceil(math.log(max(1, sizes.count() / BUCKET_ROWS), 16)))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.lower(F.hex("digest"))).cast("binary"))
     rows = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     order = Window.partitionBy("source", "bucket")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = order.orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = order.orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(buckets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
@@ -197,7 +203,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 ORACLE = """
 WITH sizes AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('17:' || doc_id) AS key FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 named AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS n FROM per),
 w AS (SELECT *, CASE n % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM named),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import in_blocks, join_by_key, range_buckets, text_slices
+from docspark.llm.common import MOST_BUCKETS, in_blocks, join_by_key, range_buckets, text_slices
 from docspark.llm.shingles import mix64, word_hashes
 
 FINGERPRINT_BITS = 64
@@ -108,13 +108,35 @@ def within_radius(fps: DataFrame) -> DataFrame:
     return distinct.join(counts, "fp", "left").select("fp", "copies", F.coalesce("near", F.lit(0)).cast("long").alias("near"))
 
 
+def hash_buckets(rows: DataFrame) -> DataFrame:
+    """Numbers `bucket` anew, in the same order: rows of a hot doc_id, or of none, go to ranges of their hash `h`, from the
+    highest number down. A hot id has over BUCKET_ROWS rows and over 1 / MOST_BUCKETS of all, so they are at most MOST_BUCKETS.
+    """
+    least = max(BUCKET_ROWS, -(-rows.count() // MOST_BUCKETS))
+    hot = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > least) | F.col("doc_id").isNull())
+    hot = hot.select(F.col("doc_id").alias("hot_id"), F.ceil(F.col("n") / least).alias("m"))
+    known = hot.collect()
+    if not known:
+        return rows.withColumn("bucket", F.col("bucket").cast("long"))
+    hot = F.broadcast(rows.sparkSession.createDataFrame(known, hot.schema))
+    ids = sorted(r.hot_id for r in known if r.hot_id is not None)
+    # inside a bucket nulls take place 0, the k-th hot id 2 k + 2, and the ids between the hot ones the odd places
+    below = F.array_size(F.filter(F.array(*map(F.lit, ids)).cast("array<long>"), lambda v: v < F.col("doc_id")))
+    place = F.when(F.col("doc_id").isNull(), 0).otherwise(2 * below + F.when(F.col("m").isNull(), 1).otherwise(2)).cast("long")
+    share = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    part = F.coalesce(F.col("m") - 1 - F.least(F.floor(share * F.col("m")), F.col("m") - 1), F.lit(0)).cast("long")
+    number = (F.col("bucket").cast("long") * F.lit(1 << 15) + place) * F.lit(1 << 14) + part
+    return rows.join(hot, F.col("doc_id").eqNullSafe(F.col("hot_id")), "left").withColumn("bucket", number).drop("hot_id", "m")
+
+
 def in_turn(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_id, next_text: the next document in descending doc_id (the last: the first; null ids come last), equal ids by a hash of the text.
 
-    Range buckets of about BUCKET_ROWS documents keep neighbours together; only each bucket's first document crosses over.
+    Range buckets of about BUCKET_ROWS documents keep neighbours together; only each bucket's first document crosses over. A
+    doc_id with more rows than a bucket should hold, or none, has buckets of its own, ranges of the hash; equal rows share one.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = range_buckets(rows, "doc_id", BUCKET_ROWS).withColumn("h", F.xxhash64("text"))
+    rows = hash_buckets(range_buckets(rows, "doc_id", BUCKET_ROWS).withColumn("h", F.xxhash64("text")))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "h", "text")
     inside = rows.select("doc_id", "text", "bucket", F.lead("doc_id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text"), F.lead(F.lit(True)).over(order).alias("has_next"))
     # of each bucket's first document its id and text hash alone are put in order; its text comes by a join

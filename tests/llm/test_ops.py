@@ -6,10 +6,12 @@ import json
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,30 @@ def test_chat_links_orders_and_validates(spark):
     assert {(r.conv_id, r.turn, r.call_id): r for r in chat.link(m, many).collect()} == got
 
 
+def test_chat_ties_and_results_without_a_key(spark):
+    says = lambda x: json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {"x": x}}]})
+    rows = [(1, 0, "assistant", says(1)), (1, 0, "assistant", says(2)), (1, 0, "assistant", says(2) + " "), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": 5})),
+            (1, 2, "tool", json.dumps({"content": 6})), (None, 2, "tool", json.dumps({"tool_call_id": "a", "content": 7})), (1, 3, "tool", "torn {"), (1, 4, "system", says(3))]
+    for order in (rows, rows[::-1]):
+        got = chat.link(spark.createDataFrame(order, "conv_id long, turn long, role string, text string"), {"f": {"x": ("integer", True)}}).collect()
+        digest = lambda r: hashlib.sha256(r.arguments_json.encode()).hexdigest()
+        calls = sorted((r for r in got if r.arguments_json), key=digest)
+        assert [(r.status, r.level, r.result_turn) for r in calls] == [("linked", 0, 1), ("duplicate", None, None)]
+        assert sorted((r.conv_id or 0, r.call_id or "", r.result_turn, r.status, json.loads(r.record)["result"]) for r in got if not r.arguments_json) == [(0, "a", 2, "no_id", 7), (1, "", 2, "no_id", 6)]
+
+
+def test_chat_of_odd_conversations_equals_sql(spark, data, tmp_path):
+    rows = [(None, 1, "assistant", "a"), (None, 2, "user", "b"), (3, None, "assistant", "c"), (3, None, "user", "d"), (None, None, "user", None), (5, 0, "system", "e"), (5, 1, "assistant", None), (5, 2, "user", None),
+            (5, 2, "user", "f"), (5, 2, "assistant", "g"), (5, 2, "assistant", "h"), (5, 2, "assistant", "h"), (5, 3, "tool", "i"), (5, 4, "assistant", "j"), (5, 5, "user", "k"), (6, 1, "assistant", None), (7, 0, "assistant", None),
+            (8, 1, "assistant", "l"), (9, 9, "user", "m"), (None, 1, "assistant", "a"), (None, 2, "user", "b"), (None, 4, None, "n")]
+    for other in Path(data).glob("*.parquet"):
+        if other.name != "conversations.parquet":
+            (tmp_path / other.name).symlink_to(other)
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema), f"{tmp_path}/conversations.parquet")
+    check(spark, str(tmp_path), queries.op2_tool_call_linking, chat.ORACLE)
+
+
 def brute_levels(arcs: dict) -> dict:
     level: dict = {}
     while True:
@@ -462,6 +488,22 @@ def test_simhash_report(spark, docs, nothing, monkeypatch):
     assert simhash.fingerprint_report(nothing).count() == 0
 
 
+def test_hot_ids_are_split_in_order(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 50)
+    rows = [(None if i % 3 == 0 else 400 if i % 3 == 1 else i, f"text {i} of {i % 7}") for i in range(1500)] + [(None, "")] * 3 + [(1, "same")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = simhash.hash_buckets(simhash.range_buckets(docs, "doc_id", 50).withColumn("h", F.xxhash64("text"))).collect()
+    assert max(collections.Counter(r.bucket for r in placed).values()) <= 100
+    order = [(r.doc_id, r.h) for r in sorted(placed, key=lambda r: (-r.bucket, r.doc_id is None, -(r.doc_id or 0), r.h))]
+    want = sorted(((r.doc_id, r.h) for r in placed), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert order == want
+    texts = {}
+    for r in placed:
+        texts.setdefault((r.doc_id, r.h), r.text)
+    turned = collections.Counter((r.doc_id, r.text, r.next_id, r.next_text) for r in simhash.in_turn(docs).collect())
+    assert turned == collections.Counter((i, texts[i, h], j, texts[j, k]) for (i, h), (j, k) in zip(want, want[1:] + want[:1], strict=True))
+
+
 def plain_fingerprint(text: str) -> int:
     """Votes counted one by one over the words of the text."""
     import xxhash
@@ -649,6 +691,16 @@ def test_mixing_copies_and_blocks_that_grow(spark, docs, monkeypatch):
     assert sorted(map(tuple, mixing.taken(docs, block_words=64).drop("first_shard").collect()), key=str) == want
 
 
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"w{i} word", "en", "a") for i in range(3000)]
+    placed = [r.asDict() for r in mixing.permuted(mixing.word_sizes(documents(rows, spark)), 17).collect()]
+    assert sorted(r["first"] for r in placed) == list(range(0, 6000, 2))
+    third = [sum(1 for r in placed if r["doc_id"] is None and r["first"] // 1000 == k) for k in range(6)]
+    assert sum(third) == 1000 and max(third) <= 2 * min(third)
+    again = mixing.taken(documents(rows[::-1], spark), block_words=16).select("doc_id", "size", "taken")
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, mixing.taken(documents(rows, spark), block_words=16).select("doc_id", "size", "taken").collect()), key=str)
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([17, 0, 5, 101])
     seen = [set() for _ in quotas]

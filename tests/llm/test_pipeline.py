@@ -38,6 +38,19 @@ def test_run(spark, data):
     assert rows.count() > 0 and "sequence_id" in rows.columns
 
 
+def test_columns_with_the_names_of_working_columns_keep_their_values(spark, tmp_path):
+    names = ["_row", "row", "_doc", "key", "_group", "_own", "_rank", "_first", "sig"]
+    plain = documents([(i, " ".join(f"das wort {i} {k} und" for k in range(60)), "de", "a") for i in range(1, 9)], spark).drop(*names)
+    docs = plain.select("*", *[(F.col("doc_id") * 100 + k).alias(n) for k, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got = docs.collect()
+        assert got and all([r[n] for n in names] == [r.doc_id * 100 + k for k in range(len(names))] for r in got)
+
+
 @pytest.mark.parametrize("case", ["empty", "nulls", "long"])
 def test_stages_of_odd_tables(spark, tmp_path, case):
     words = " ".join(f"wort{i % 997}x" for i in range(120_000))

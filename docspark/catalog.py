@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import fulltext, ingest, ingestion, nested, replies, retrieval, signals, streams
+from docspark.plans import fulltext, ingest, ingestion, nested, replies, retrieval, signals, streams, writes
 
-MODULES = [retrieval, fulltext, nested, ingestion, ingest, signals, replies, streams]
+MODULES = [retrieval, fulltext, nested, ingestion, ingest, signals, replies, streams, writes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

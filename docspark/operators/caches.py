@@ -22,6 +22,27 @@ def exact_lookup(asks: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return asks.join(live, "key", "left").withColumn("status", F.when(F.col("answer").isNotNull(), "hit").otherwise("miss"))
 
 
+def put(cache: DataFrame, puts: DataFrame, hours: int = 6) -> DataFrame:
+    """cache(key, answer, expires_at) after puts(key, answer, at): a key's last put (at one time the greatest answer) takes its
+    place and lives `hours` from then. Puts without a key or an answer store nothing; other entries stay as they are."""
+    last = puts.where("key is not null and answer is not null").groupBy("key").agg(F.max(F.struct("at", "answer")).alias("p"))
+    fresh = last.select("key", F.col("p.answer").alias("answer"), (F.col("p.at") + F.make_dt_interval(hours=F.lit(hours))).alias("expires_at"))
+    return cache.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+
+
+def semantic_put(cache: DataFrame, puts: DataFrame, hours: int = 6) -> DataFrame:
+    """cache(entry_id, scope, answer, vector, expires_at) after puts(scope, query, answer, vector, chunks_used, sources, at).
+
+    Only answers from chunks and with sources are stored. The entry's id is the digest of scope, query and answer, so one
+    answer put again refreshes its expiry.
+    """
+    ident = F.sha2(F.concat_ws(":", *[F.coalesce(F.col(c), F.lit("")) for c in ("scope", "query", "answer")]), 256)
+    good = puts.where(cacheable(F.col("chunks_used"), F.col("sources")) & F.col("vector").isNotNull()).withColumn("entry_id", ident)
+    last = good.groupBy("entry_id").agg(F.max_by(F.struct("scope", "answer", "vector"), "at").alias("e"), F.max("at").alias("at"))
+    fresh = last.select("entry_id", "e.scope", "e.answer", "e.vector", (F.col("at") + F.make_dt_interval(hours=F.lit(hours))).alias("expires_at"))
+    return cache.join(fresh.select("entry_id"), "entry_id", "left_anti").unionByName(fresh)
+
+
 def semantic_lookup(asks: DataFrame, cache: DataFrame, now: Column, near: float = NEAR) -> DataFrame:
     """asks(ask_id, scope, vector): the nearest live entry of the same scope, a hit if within `near` (inclusive)."""
     live = cache.where(F.col("expires_at") > now).select("scope", F.col("entry_id"), F.col("vector").alias("v2"))

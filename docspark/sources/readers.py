@@ -38,8 +38,36 @@ def newest_run(spark: SparkSession, folder: str, exclude: str | None = None) ->
     return (found.where(F.col("file") != exclude) if exclude else found).orderBy(F.desc("file")).limit(1)
 
 
+def newest_runs(spark: SparkSession, folder: str, most: int = 2) -> DataFrame:
+    """The latest runs by their own time, then by file; the first is the current one."""
+    return runs(spark, folder).orderBy(F.desc_nulls_last("timestamp"), F.desc("file")).limit(most)
+
+
+def run_summary(run: DataFrame) -> DataFrame:
+    """run_id, timestamp, commit, case_count, avg_scores: a metric's sum over the scored cases by the number of all scored ones."""
+    keys = ["run_id", "timestamp", "commit"]
+    scored = F.filter("cases", lambda c: c["status"] == "scored")
+    sized = run.select(*keys, F.size("cases").alias("case_count"), F.greatest(F.size(scored), F.lit(1)).alias("n"), scored.alias("scored"))
+    marks = sized.select(*keys, "case_count", "n", F.explode_outer("scored").alias("c")).select(*keys, "case_count", "n", F.explode_outer("c.scores").alias("metric", "score"))
+    means = marks.groupBy(*keys, "case_count", "n", "metric").agg((F.sum("score") / F.col("n")).alias("mean"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("metric").isNotNull(), F.struct("metric", "mean"))))  # one a metric
+    return means.groupBy(*keys, "case_count").agg(F.map_from_entries(pairs).alias("avg_scores"))
+
+
+#: Summaries stand beside the runs in a folder whose name readers of the runs pass over.
+SUMMARIES = "_summaries"
+SUMMARY = "run_id string, timestamp string, commit string, case_count int, avg_scores map<string,double>"
+
+
 def write_run(run: DataFrame, folder: str) -> None:
+    """Append runs, and a summary of each for quick listing."""
     run.write.mode("append").json(folder)
+    run_summary(run).write.mode("append").json(f"{folder}/{SUMMARIES}")
+
+
+def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """All summaries, newest first."""
+    return spark.read.schema(SUMMARY).json(f"{folder}/{SUMMARIES}").orderBy(F.desc_nulls_last("timestamp"), F.desc("run_id"))
 
 
 def repository(spark: SparkSession, folder: str, most_bytes: int = 250_000) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions import text as T
+from docspark.operators.nearest import nearest
 
 NEAR = 0.08
 
@@ -44,11 +44,11 @@ def semantic_put(cache: DataFrame, puts: DataFrame, hours: int = 6) -> DataFrame
 
 
 def semantic_lookup(asks: DataFrame, cache: DataFrame, now: Column, near: float = NEAR) -> DataFrame:
-    """asks(ask_id, scope, vector): the nearest live entry of the same scope, a hit if within `near` (inclusive)."""
-    live = cache.where(F.col("expires_at") > now).select("scope", F.col("entry_id"), F.col("vector").alias("v2"))
-    pairs = asks.join(live, "scope").withColumn("distance", F.round(1 - T.cosine(F.col("vector"), F.col("v2")), 9))
-    order = Window.partitionBy("ask_id").orderBy("distance", "entry_id")
-    best = pairs.withColumn("n", F.row_number().over(order)).where("n = 1").select("ask_id", "entry_id", "distance")
+    """asks(ask_id, scope, vector): the nearest live entry of the same scope, a hit if within `near` (inclusive). Asks are met in
+    blocks, each task keeps its nearest entry of an ask, so no scope is joined with itself."""
+    live = cache.where(F.col("expires_at") > now).select(F.col("entry_id").alias("doc_id"), "vector", "scope")
+    found = nearest(asks.select(F.col("ask_id").alias("query_id"), "vector", "scope"), live, 1, scoped=True)
+    best = found.groupBy(F.col("query_id").alias("ask_id")).agg(F.min(F.struct("distance", "doc_id")).alias("m")).select("ask_id", F.col("m.doc_id").alias("entry_id"), "m.distance")
     status = F.when(F.col("distance") <= near, "hit").otherwise("miss")
     return asks.select("ask_id").join(best, "ask_id", "left").select("ask_id", F.when(F.col("distance") <= near, F.col("entry_id")).alias("entry_id"), F.coalesce(status, F.lit("miss")).alias("status"))
 

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.operators.nearest import nearest
 
-#: Queries that one pass over the vectors may carry; larger batches are cut in blocks.
-QUERY_BLOCK = 1024
 RRF_K = 60
 
 
@@ -64,25 +63,9 @@ def all_terms_match(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return have.join(need, "query_id").where("have = need").select("query_id", "doc_id")
 
 
-def vector_scores(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """query_id, doc_id, distance (cosine) of every vector to every query; queries(query_id, vector), base(doc_id, vector).
-
-    Queries are dealt to blocks of at most QUERY_BLOCK, each broadcast to one pass over the vectors.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        # a block's size is set by QUERY_BLOCK, not by the data
-        part = base.select("doc_id", "vector").crossJoin(F.broadcast(q.select("query_id", F.col("vector").alias("q"))))
-        part = part.select("query_id", "doc_id", F.round(1 - T.cosine(F.col("vector"), F.col("q")), 9).alias("distance"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def vector_topk(queries: DataFrame, base: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(vector_scores(queries, base), "distance", k, ascending=True)
+    """query_id, doc_id, distance, rank of the k nearest by cosine; queries(query_id, vector), base(doc_id, vector)."""
+    return top_k(nearest(queries, base, k), "distance", k, ascending=True)
 
 
 def similarity(distance: Column) -> Column:

@@ -184,7 +184,7 @@ def exact_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The lower half of the vectors is cached, by label as scope; the benchmark items' vectors ask."""
+    """The upper half of the vectors is cached, by label as scope; the benchmark items' vectors ask."""
     v = table(spark, d, "embeddings")
     half = v.agg((F.max("vec_id") / 2).alias("half"))
     cache = v.crossJoin(F.broadcast(half)).where("vec_id > half").select(F.col("label").alias("scope"), F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vector"), F.lit(10).alias("expires_at"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import filesystem, materialize, shared_array, shared_path, text_slices
+from docspark.llm.common import SLICE_BYTES, filesystem, materialize, shared_array, shared_path, text_slices
 from docspark.llm.shingles import mix64, word_hashes
 
 BASE = 1.5
@@ -276,33 +276,35 @@ def _asked(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate((tok, before))), np.unique(two)
 
 
-CHUNK = "chunk long, doc_id array<long>, held_out array<boolean>, text array<string>"
+CHUNK = "chunk long, doc_id long, held_out boolean, text string"
 
 
 def _scores_by_segment(rows: DataFrame, counts: DataFrame, lm: LogFrequencyFilter) -> DataFrame:
     """Scores by a filter of any size: its segments are built and probed each in its own group, with the n-grams asked of it.
 
     A segment is asked for an n-gram once a chunk of texts, so its group grows with the texts a segment stands for and not
-    with the corpus.
+    with the corpus. Chunks are groups of plain rows: as one row with an array each, readers and writers would hold thousands of them at once.
     """
     segments, room = lm.segments, lm.train_tokens + 0.5 * (lm.distinct + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+        number, size = 0, 0
         for b in batches:
             for i, j in text_slices(b.column(2)):
                 part = b.slice(i, j - i)
-                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), part.column(k)) for k in (0, 1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([(b.column(3)[0].as_py() << 40) + number]), *lists], names=["chunk", "doc_id", "held_out", "text"])
-                number += 1
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, texts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for kind, keys in enumerate(_asked(*tokens(texts.values)), 1):
-                    order, to, cuts = _dealt(keys, segments)
-                    asked = [keys[order[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), chunk)), pa.array(np.full(len(to), kind, np.int32)), pa.array(to.astype(np.int32)), pa.array(asked, pa.binary())], names=["chunk", "kind", "segment", "keys"])
+                more = pc.sum(pc.binary_length(part.column(2))).as_py() or 0
+                if size and size + more > SLICE_BYTES:
+                    number, size = number + 1, 0
+                size += more
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, (b.column(3)[0].as_py() << 40) + number)), part.column(0), part.column(1), part.column(2)], names=["chunk", "doc_id", "held_out", "text"])
+
+    def ask(chunk: pa.Table) -> pa.Table:
+        found = []
+        for kind, keys in enumerate(_asked(*tokens(chunk.column("text").combine_chunks())), 1):
+            order, to, cuts = _dealt(keys, segments)
+            asked = [keys[order[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            found.append(pa.table([pa.array(np.full(len(to), chunk.column("chunk")[0].as_py())), pa.array(np.full(len(to), kind, np.int32)), pa.array(to.astype(np.int32)), pa.array(asked, pa.binary())], names=["chunk", "kind", "segment", "keys"]))
+        return pa.concat_tables(found)
 
     def answer(asked: pd.DataFrame, learnt: pd.DataFrame) -> pd.DataFrame:
         keys = np.frombuffer(b"".join(asked["keys"]), "<u8")
@@ -322,7 +324,7 @@ def _scores_by_segment(rows: DataFrame, counts: DataFrame, lm: LogFrequencyFilte
         return pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "segment": asked["segment"], "levels": [level[a:b].tobytes() for a, b in spans], "counts": exact})
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, held, texts = (chunk.column(name).combine_chunks().flatten() for name in ("doc_id", "held_out", "text"))
+        ids, held, texts = (chunk.column(name).combine_chunks() for name in ("doc_id", "held_out", "text"))
         tok, n = tokens(texts)
         keys, found, number = _asked(tok, n), [], np.zeros(0)
         answers = answers.sort_by("segment")
@@ -340,7 +342,8 @@ def _scores_by_segment(rows: DataFrame, counts: DataFrame, lm: LogFrequencyFilte
         return pa.table([ids, held, pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(n), lm.train_tokens)), pa.array(np.add.reduceat(np.log10((c + 0.5) / room), starts)), pa.array(np.add.reduceat(model, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     chunks = materialize(rows.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(deal, CHUNK), "lm-chunks")
-    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, kind int, segment int, keys binary")
+    # the same columns as for the scores, so that the texts are dealt to their chunks once for both
+    asked = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, kind int, segment int, keys binary")
     learnt = counts.select("kind", "segment", "grams", "counts", "members")
     answers = asked.groupBy("kind", "segment").cogroup(learnt.groupBy("kind", "segment")).applyInPandas(answer, "chunk long, kind int, segment int, levels binary, counts binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)

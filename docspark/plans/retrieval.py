@@ -96,14 +96,14 @@ def search_unified(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _queries(spark, d), _docs(spark, d)
-    hits = R.keyword_topk(q, docs, 15).join(q.withColumnRenamed("text", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    hits = R.hits(R.keyword_topk(q, docs, 15).join(q.withColumnRenamed("text", "query"), "query_id")).join(docs.select("doc_id", "text"), "doc_id")
     return R.rerank(hits, R.term_overlap(F.col("query"), F.col("text"))).select("query_id", "doc_id", "relevance", "place")
 
 
 def parent_expand(spark: SparkSession, d: str) -> DataFrame:
     """Children: documents; parents: their sources. The best children's parents, in order."""
     docs = _docs(spark, d)
-    hits = R.keyword_topk(_queries(spark, d), docs).select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
+    hits = R.hits(R.keyword_topk(_queries(spark, d), docs).select("query_id", F.col("doc_id").alias("chunk_id"), "rank"))
     parents = docs.groupBy(F.col("source").alias("parent_id")).agg(F.count(F.lit(1)).alias("n_children"))
     return R.parents_of(hits, docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("parent_id")), parents).select("query_id", "parent_id", "n_children", "best", "rank")
 
@@ -111,8 +111,8 @@ def parent_expand(spark: SparkSession, d: str) -> DataFrame:
 def merged_retrieval_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Keyword and vector lists as two sources; copies by (source, url, first 100 characters) go."""
     docs = _docs(spark, d).select("doc_id", "source", F.concat(F.lit("https://docs/"), F.col("source")).alias("url"), "text")
-    kw = R.keyword_topk(_queries(spark, d), _docs(spark, d)).select("query_id", "doc_id", "rank").join(docs, "doc_id")
-    vec = R.vector_topk(_query_vectors(spark, d), _vectors(spark, d)).select("query_id", "doc_id", "rank").join(docs, "doc_id")
+    kw = R.hits(R.keyword_topk(_queries(spark, d), _docs(spark, d)).select("query_id", "doc_id", "rank")).join(docs, "doc_id")
+    vec = R.hits(R.vector_topk(_query_vectors(spark, d), _vectors(spark, d)).select("query_id", "doc_id", "rank")).join(docs, "doc_id")
     return R.merged(kw, vec).select("query_id", "doc_id", "leg", "rank")
 
 
@@ -124,14 +124,14 @@ def match_all(spark: SparkSession, d: str) -> DataFrame:
 
 def context_join(spark: SparkSession, d: str) -> DataFrame:
     """Numbered contexts of the best five documents of each query, previews of 200 characters, as one prompt part."""
-    hits = R.keyword_topk(_queries(spark, d), _docs(spark, d), 5).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    hits = R.hits(R.keyword_topk(_queries(spark, d), _docs(spark, d), 5)).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     part = F.concat(F.lit("["), F.col("rank"), F.lit("] "), T.preview(F.col("text"), 200))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("context"))
 
 
 def grounding_check(spark: SparkSession, d: str) -> DataFrame:
     """Does an answer (the best document) name its source? Vacuously true without hits."""
-    hits = R.keyword_topk(_queries(spark, d), _docs(spark, d), 3).join(_docs(spark, d).select("doc_id", "text", "source"), "doc_id")
+    hits = R.hits(R.keyword_topk(_queries(spark, d), _docs(spark, d), 3)).join(_docs(spark, d).select("doc_id", "text", "source"), "doc_id")
     named = hits.groupBy("query_id").agg(F.bool_or(F.contains("text", "source")).alias("named"))
     return _queries(spark, d).select("query_id").join(named, "query_id", "left").select("query_id", F.coalesce("named", F.lit(True)).alias("grounded"))
 

@@ -7,6 +7,11 @@ query's block bounds in a segment bounds the score of every document in it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +25,52 @@ SEGMENT = 8
 K1, B = 1.2, 0.75
 
 
-def _numbered(docs: DataFrame, segment: int) -> DataFrame:
-    """Adds the document's segment: numbers in doc_id order, by range partitions and the counts of those before."""
-    ranged = kept(docs.select("doc_id", "terms").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()).withColumn("inside", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    # a row a partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return ranged.join(F.broadcast(sizes), "part").select("doc_id", "terms", F.floor((F.col("base") + F.col("inside")) / segment).alias("segment"))
+#: Documents that are taken apart at once.
+SLICE = 512
+BLOCK = "segment long, term string, docs array<struct<doc_id:long,tf:int,dl:int>>"
+
+
+def _blocks(docs: DataFrame, segment: int) -> DataFrame:
+    """Every segment's blocks, a row a term, and a row without a term with all its documents; docs: doc_id, terms.
+
+    Documents are dealt by ranges of doc_id, and a task numbers the segments of its range, so the blocks need no shuffle.
+    """
+
+    def taken_apart(rows: pa.Table, part: int, first: int) -> pa.RecordBatch:
+        terms = rows["terms"].combine_chunks()
+        ids, dl = rows["doc_id"].combine_chunks(), pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = terms.flatten().dictionary_encode()
+        size, owner = len(words.dictionary) + 1, np.repeat(np.arange(len(dl)), dl)
+        # the last code stands for the document itself
+        codes = np.append(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.full(len(dl), size - 1))
+        owner = np.append(owner, np.arange(len(dl)))
+        own, inside = np.divmod(owner, segment)
+        keys, tf = np.unique((own * size + codes) * segment + inside, return_counts=True)
+        block, inside = np.divmod(keys, segment)
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        own, code = np.divmod(block, size)
+        at = own * segment + inside
+        entries = pa.StructArray.from_arrays([ids.take(pa.array(at)), pa.array(tf.astype(np.int32)), pa.array(dl[at].astype(np.int32))], names=["doc_id", "tf", "dl"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), entries)
+        term = words.dictionary.take(pa.array(code[starts], mask=code[starts] == size - 1))
+        return pa.RecordBatch.from_arrays([pa.array((part << 33) + first + own[starts]), term, lists], names=["segment", "term", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, part, number, step = None, 0, 0, -(-SLICE // segment) * segment
+        for b in batches:
+            for i in range(0, b.num_rows, step):
+                part, some = b.column(2)[0].as_py(), pa.Table.from_batches([b.slice(i, step)])
+                left = some if left is None else pa.concat_tables([left, some])
+                whole = len(left) // segment * segment
+                if whole:
+                    yield taken_apart(left.slice(0, whole), part, number)
+                    number, left = number + whole // segment, left.slice(whole)
+        if left is not None and len(left):
+            yield taken_apart(left, part, number)
+
+    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = ranged.select(F.col("doc_id").cast("long"), T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"), F.spark_partition_id().cast("long").alias("part"))
+    return rows.mapInArrow(run, BLOCK)
 
 
 def tables(docs: DataFrame, segment: int = SEGMENT) -> dict[str, DataFrame]:
@@ -35,20 +79,20 @@ def tables(docs: DataFrame, segment: int = SEGMENT) -> dict[str, DataFrame]:
     postings: term, segment, docs (doc_id, tf, impact of each), bound (the greatest impact), df. An impact is a posting's BM25
     weight, so a query's score is a sum of impacts and a bound needs no document.
     """
-    rows = _numbered(docs.select("doc_id", T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms")), segment)
-    lengths = rows.select("doc_id", "segment", F.size("terms").alias("dl"))
+    rows = kept(_blocks(docs, segment))
+    lengths = rows.where("term is null").select("segment", F.explode("docs").alias("d")).select("d.doc_id", "segment", "d.dl")
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    tf = rows.select("doc_id", "segment", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "segment", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    blocks = tf.groupBy("term", "segment").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"))  # at most a segment's documents
-    df = blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    # the one shuffle of the blocks: a term's are in one range, where they are counted in the order in which they are written
+    of_term = Window.partitionBy("term").orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = rows.where("term is not null").repartitionByRange("term").withColumn("df", F.sum(F.size("docs")).over(of_term))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
     def impact(p):
-        return F.struct(p["doc_id"].alias("doc_id"), p["tf"].alias("tf"), (idf * p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * p["dl"] / F.col("avg_dl")))).alias("impact"))
+        return F.struct(p["doc_id"].alias("doc_id"), p["tf"].cast("long").alias("tf"), (idf * p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * p["dl"] / F.col("avg_dl")))).alias("impact"))
 
-    weighed = blocks.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("docs", F.transform("docs", impact))  # stats: one row
+    weighed = blocks.crossJoin(F.broadcast(stats)).withColumn("docs", F.transform("docs", impact))  # stats: one row
     postings = weighed.select("term", "segment", "docs", F.array_max(F.transform("docs", lambda p: p["impact"])).alias("bound"), "df")
-    return {"postings": postings.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment"), "lengths": lengths, "stats": stats}
+    return {"postings": postings.sortWithinPartitions("term", "segment"), "lengths": lengths, "stats": stats}
 
 
 def build(docs: DataFrame, folder: str, version: int, segment: int = SEGMENT) -> bool:

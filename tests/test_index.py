@@ -62,3 +62,17 @@ def test_torn_commit_and_torn_version_fall_back(spark, tmp_path):
         part.unlink()
     with pytest.raises(FileNotFoundError):
         readers.read_snapshot(spark, folder)
+
+
+def test_blocks_are_shuffled_once_and_right(spark, corpus):
+    own = index.tables(corpus.repartition(3), 8)
+    plan = own["postings"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+    want = {(i, t): text.split().count(t) for i, text in map(tuple, corpus.collect()) for t in set((text or "").split())}
+    rows = own["postings"].collect()
+    assert {(d.doc_id, r.term): d.tf for r in rows for d in r.docs} == want and sum(len(r.docs) for r in rows) == len(want)
+    df = {t: sum(1 for _, u in want if u == t) for t in ("common1", "rare7", "topic3x4")}
+    assert {r.term: r.df for r in rows if r.term in df} == {t: n for t, n in df.items() if n}
+    of = {r.doc_id: (r.segment, r.dl) for r in own["lengths"].collect()}
+    assert len(of) == 1202 and of[5000][1] == 0 and all(of[d.doc_id][0] == r.segment for r in rows for d in r.docs)
+    assert max(sum(1 for s, _ in of.values() if s == x) for x in {s for s, _ in of.values()}) <= 8

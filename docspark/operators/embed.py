@@ -37,11 +37,15 @@ def hashed_terms(dimensions: int = DIMENSIONS, most_terms: int = 200_000) -> Emb
 
     def embed(texts: pa.Array) -> np.ndarray:
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[^a-z0-9]+", " "))
-        out = np.zeros((len(texts), dimensions))
-        for i, some in enumerate(words.to_pylist()):
-            for w in some:
-                if w:
-                    out[i] += sign(w)
+        out, coded = np.zeros((len(texts), dimensions)), words.flatten().dictionary_encode()
+        codes, sizes = coded.indices.to_numpy(zero_copy_only=False), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        # each term of the batch once; signs times counts are whole numbers, so their order doesn't matter
+        own = np.array([sign(w) if w else np.zeros(dimensions) for w in coded.dictionary.to_pylist()]).reshape(-1, dimensions)
+        for i, (start, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+            if end > start:
+                at, n = np.unique(codes[start:end], return_counts=True)
+                out[i] = n @ own[at]
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -33,7 +33,7 @@ def nested_skill(spark: SparkSession, d: str) -> DataFrame:
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of all documents, joined back by key to shuffled documents; the first two dimensions and the length."""
     docs = table(spark, d, "documents")
-    vectors = embed.embedded(docs.repartition(7, F.xxhash64("doc_id")), "doc_id")
+    vectors = embed.embedded(docs.select("doc_id", "text").repartition(F.xxhash64("doc_id")), "doc_id")
     both = embed.with_vectors(docs.select("doc_id"), vectors, "doc_id")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     return both.select("doc_id", F.round(F.col("vector")[0].cast("double"), 5).alias("first"), F.round(F.col("vector")[63].cast("double"), 5).alias("last"), F.round(length, 4).alias("length"))

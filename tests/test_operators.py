@@ -111,6 +111,17 @@ def test_control_triples(spark):
     }
 
 
+def test_control_rows_are_read_in_all_tasks_and_sorted_once_each(spark):
+    """One file's pages are dealt out before anything is looked for in them, and repeats are gone before the sort."""
+    text = "Size | size | 0 | Sets blurs.\nsize | SIZE | 0 | Sets blurs."
+    pages = spark.createDataFrame([("Blur", "Filter", text)] * 50, "name string, section string, text string").coalesce(1)
+    got = graph.control_triples(pages)
+    assert sorted((r.subject_name, r.predicate, r.object_name) for r in got.collect()) == [("Blur", "BELONGS_TO", "Filter"), ("Blur", "HAS_KNOB", "size"), ("size", "KNOB_CONTROLS", "Sets blurs")]
+    above, below = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "regexp_extract_all" in above and "regexp_extract_all" not in below
+    assert "min(pos" in above.split("Window")[-1]
+
+
 def test_gated_upsert_is_sequential(spark):
     with_checkpoints(spark)
     rng = random.Random(5)

@@ -82,3 +82,13 @@ def test_input_rows(spark):
     }
     got = {(r.subject_name, r.object_name) for r in graph.input_triples(spark.createDataFrame([*texts.items(), ("Null", None)], "name string, text string")).collect()}
     assert got == {("Blur", "img input"), ("Blur", "B input"), ("Blur", "mask input"), ("Merge", "The layer below all input"), ("Merge", "image input"), ("Twice", "A input")}
+
+
+def test_input_rows_are_read_in_all_tasks(spark):
+    """One file's pages are dealt out before anything is looked for in them, and equal pages are read once."""
+    text = "Inputs and Controls Connection Type Connection Name Function Input img The picture. mask Optional matte."
+    got = graph.input_triples(spark.createDataFrame([("Blur", text), ("blur", text)] * 30, "name string, text string").coalesce(1))
+    assert sorted((r.subject_name.lower(), r.object_name) for r in got.collect()) == [("blur", "img input"), ("blur", "mask input")]
+    above, below = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "split(" in above and "split(" not in below and "regexp" not in below
+    assert "min(pos" in above.split("Window")[-1]
